@@ -8,6 +8,7 @@ MODULES = {
     "op1_quality_classifier": "op1_quality_classifier",
     "op2_token_counts": "op2_token_counts",
     "op3_quality_rules": "op3_quality_rules",
+    "op4_suffix_dedup": "op4_suffix_dedup",
     "op6_minhash": "op6_minhash",
     "op8_fingerprints": "op8_fingerprints",
     "op9_line_dedup": "op9_line_dedup",
