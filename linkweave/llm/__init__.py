@@ -9,6 +9,7 @@ MODULES = {
     "op2_token_counts": "op2_token_counts",
     "op3_quality_rules": "op3_quality_rules",
     "op4_suffix_dedup": "op4_suffix_dedup",
+    "op5_sentencepiece": "op5_sentencepiece",
     "op6_minhash": "op6_minhash",
     "op8_fingerprints": "op8_fingerprints",
     "op9_line_dedup": "op9_line_dedup",

@@ -58,12 +58,16 @@ def counter(model: bytes, singles: frozenset[str]):
 
     encode = sentencepiece.SentencePieceProcessor(model_proto=model).encode
 
+    blank = len(encode("a ")) - len(encode("a"))  # a last lone blank, which the library would take for an empty text
+
     def count(text: str) -> int:
         if not text:
             return 0
         parts = split_pretokens(" " + text.replace(MARK, " "))
         rest = [p for p in parts if p not in singles]
         # the library puts the first blank in front by itself
+        if rest == [" "]:
+            return len(parts) - 1 + blank
         return len(parts) - len(rest) + (len(encode("".join(rest)[1:])) if rest else 0)
 
     return count
