@@ -1,12 +1,53 @@
-"""The corpus pipeline: STAGES applied one after another, each to all that its predecessor kept."""
+"""The corpus pipeline: STAGES applied one after another, each to all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and works on whatever rows docs has; nulls, empty tables and repeated rows are as its operator says.
+All but the last return the columns of docs, n_chars following the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkweave.llm import common, op1_quality_classifier, op5_sentencepiece, op6_minhash, op9_line_dedup, op10_mixing
+
+#: Near duplicates: word shingles and least similarity in percent.
+WORDS, PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among docs, accepts."""
+    model = op1_quality_classifier.fit(docs, common.table(spark, sf_dir, "labels"))
+    return op1_quality_classifier.score(docs, model).where(F.col("score") >= op1_quality_classifier.THRESHOLD).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that MIN_DOCS documents or more share."""
+    out = op9_line_dedup.dedup_lines(docs, op9_line_dedup.build(docs)).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest doc_id. Rows without an id stay."""
+    found = op6_minhash.near_duplicates(docs, WORDS, PERCENT)
+    out = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if again.limit(1).count():  # rows that share an id are one document
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    return out
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by their numbers of copies, sources at the target weights, in global random order."""
+    return op10_mixing.mix(docs).select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip of every row."""
+    return op5_sentencepiece.encode(docs)
 
-from linkweave.llm import common
 
-STAGES: list = []
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("encoding", encoding)]
 
 #: The first stage learns a model, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None

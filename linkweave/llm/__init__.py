@@ -11,6 +11,7 @@ MODULES = {
     "op4_suffix_dedup": "op4_suffix_dedup",
     "op5_sentencepiece": "op5_sentencepiece",
     "op6_minhash": "op6_minhash",
+    "op7_pii": "op7_pii",
     "op8_fingerprints": "op8_fingerprints",
     "op9_line_dedup": "op9_line_dedup",
     "op10_mixing": "op10_mixing",
