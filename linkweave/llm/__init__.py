@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 import importlib
+import sys
+
+from pyspark import cloudpickle
+
+# executors need not have this package: functions that run there travel with their code
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = {
     "op1_quality_classifier": "op1_quality_classifier",

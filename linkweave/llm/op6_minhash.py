@@ -6,9 +6,10 @@ longs. Classes that share a band key are candidates. The similarity of candidate
 the 1 in 16 that agree by chance); what is estimated far below the threshold goes, all others are confirmed on the full sets.
 
 No bucket is expanded into all its pairs, and none is capped. First each member is compared with its bucket's smallest
-member (a star); components of the confirmed links follow. Then, in buckets that still hold several components, every pair of
-different components whose estimate allows a link is confirmed too: buckets are cut into blocks of members, and the members outside
-the bucket's main component meet each block. Pairs inside one component can't change the result.
+member (a star); components of the confirmed links follow. Buckets that still hold several components are tied into groups, and each group is
+cut into blocks of bounded size. Every block meets all members outside the group's main component, whose exact intersections with the whole
+block are counted at once over the block's inverted index; only confirmed links come out, at most one for a member and
+a component. Pairs inside one component can't change the result.
 
 At similarity 0.85 a pair shares no band with probability 6e-11, at 0.8 with 5e-8. Texts that are null, empty or blank have an empty set and are
 linked with nothing. Rows that share a doc_id are one document with the links of each; rows without a doc_id have component_id null, are
@@ -29,8 +30,9 @@ from .graphs import components
 BANDS, ROWS, SEED = 32, 4, 20
 PERMS = BANDS * ROWS
 #: Pairs whose estimated similarity is lower than the threshold by more than this (over 6 standard errors) are not confirmed.
-SLACK = 0.22
-BLOCK = 256
+SLACK = 0.2
+#: Shingles of the members in one block.
+BLOCK = 1_000_000
 #: Requests of texts up to this number (32 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 MAX_WORDS = 400_000
@@ -155,6 +157,62 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     return rows.mapInArrow(run, "a long, b long")
 
 
+def across(member: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between different components that share a bucket of three or more."""
+    spark = member.sparkSession
+    common.small_batches(spark)
+    part = member.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "a", "rep", F.coalesce("component", "rep").alias("part"))
+    part = common.stored(part, "parts", spark)
+    several = part.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band", "key")
+    # buckets that share a member are one group, so a pair is compared once and not in each band
+    ties = part.join(several, ["band", "key"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    groups = components(ties).withColumnRenamed("component", "grp")
+    size = reps.groupBy("rep").agg(F.sum("n_shingles").alias("weight"))
+    of = groups.join(found, "node", "left").select("grp", F.col("node").alias("rep"), F.coalesce("component", "node").alias("part")).join(size, "rep")
+    of = common.stored(of, "groups", spark)
+    mains = of.groupBy("grp", "part").agg(F.sum("weight").alias("w")).groupBy("grp").agg(F.max(F.struct("w", "part"))["part"].alias("main"), F.ceil(F.sum("w") / BLOCK).cast("int").alias("blocks"))
+    of = of.join(mains, "grp").withColumn("loose", F.col("part") != F.col("main"))
+    base = of.select("rep", "grp", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("guest"), "part")
+    guests = of.where("loose").select("rep", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("guest"), "part")
+    asked = common.stored(base.unionByName(guests), "asked", spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    rows = texts.join(asked, "rep").select("grp", "block", "guest", "rep", "part", "text")
+    rows = rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "guest")
+
+    def run(batches):
+        hashes, at, sets, ids, parts, index = WordHashes(), None, [], [], [], None
+        for batch in batches:
+            got_a, got_b = [], []
+            for grp, block, guest, rep, part, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if at != (grp, block):
+                    at, sets, ids, parts, index = (grp, block), [], [], [], None
+                s = shingles(text, n, hashes)
+                if not guest:
+                    sets.append(s)
+                    ids.append(rep)
+                    parts.append(part)
+                    continue
+                if index is None:
+                    flat, owner = (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                    order = np.argsort(flat, kind="stable")
+                    index = (flat[order], owner[order], np.array([len(x) for x in sets], np.int64), np.array(ids, np.int64), np.array(parts, np.int64))
+                flat, owner, sizes, own_ids, own_parts = index
+                lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
+                length = hi - lo
+                first = np.cumsum(length) - length
+                places = np.arange(length.sum()) + np.repeat(lo - first, length)
+                both = np.bincount(owner[places], minlength=len(sizes))
+                hit = np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (own_parts != part) & (both > 0))
+                for k in np.unique(own_parts[hit], return_index=True)[1]:
+                    got_a.append(min(rep, int(own_ids[hit[k]])))
+                    got_b.append(max(rep, int(own_ids[hit[k]])))
+            yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.int64()), pa.array(got_b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     spark = docs.sparkSession
@@ -163,7 +221,7 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     usable = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = common.stored(usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes", spark)
     # class representatives with their signatures; the first row of a shared id and set
-    reps = usable.join(classes, [usable.c1 == classes.c1, usable.c2 == classes.c2, usable.doc_id == classes.rep]).select("rep", "bands", "bits", usable.c1).dropDuplicates(["rep", "c1"])
+    reps = usable.join(classes, [usable.c1 == classes.c1, usable.c2 == classes.c2, usable.doc_id == classes.rep]).select("rep", "bands", "bits", "n_shingles", usable.c1).dropDuplicates(["rep", "c1"])
     reps = common.stored(reps.drop("c1"), "reps", spark)
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.count("*").alias("size")).where("last > a")
@@ -178,17 +236,7 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     shared = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").drop("z")
     links = links.unionByName(shared.join(ids, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
     found = common.stored(components(links), "components-1", spark)
-    # buckets that still hold several components
-    part = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "size", "rep", F.coalesce("component", "rep").alias("part"))
-    part = common.stored(part, "parts", spark)
-    sizes = part.groupBy("band", "key", "part").agg(F.count("*").alias("of"))
-    mains = sizes.groupBy("band", "key").agg(F.max(F.struct("of", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_ = part.join(mains, ["band", "key"]).join(bits, "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    blocked = open_.select("band", "key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("r"), F.col("part").alias("p"), F.col("bits").alias("x"), (F.col("part") != F.col("main")).alias("loose"))
-    loose = open_.where("part <> main").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("s"), F.col("part").alias("q"), F.col("bits").alias("y"))
-    more = blocked.join(loose, ["band", "key", "block"]).where((F.col("p") != F.col("q")) & (~F.col("loose") | (F.col("r") < F.col("s"))) & (estimate("x", "y") >= least))
-    more = more.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
-    more = common.stored(confirm(more, docs, n, percent), "links-2", spark)
+    more = common.stored(across(member, found, reps, docs, n, percent), "links-2", spark)
     tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
     final = components(tied.unionByName(more)) if more.limit(1).count() else found
     whole = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("root"))
