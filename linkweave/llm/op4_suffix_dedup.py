@@ -32,7 +32,6 @@ from . import common
 LENGTH, K, BATCHES = 400, 200, 2
 GROUP = 4096
 BLOCK = 1 << 20
-BROADCAST_ROWS = 100_000
 POSITION = np.uint64((1 << 21) - 1)
 _rng = np.random.default_rng(4)
 BYTES = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, (2, 256), dtype=np.uint64)
@@ -180,8 +179,6 @@ class SuffixIndex:
         texts = keyed(docs).select("ra", "rb", "text")
         one = F.struct("kh", "sh", "n", "first", "last", "size")
         by_doc = asked.groupBy("ra", "rb").agg(F.collect_list(one).alias("asked"))
-        if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # 64 bytes a row
-            by_doc = F.broadcast(by_doc)
         wanted = texts.join(by_doc, ["ra", "rb"])
 
         def cut(batches):
