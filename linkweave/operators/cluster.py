@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import AUTO_MATCH, ClusterConfig
+from ..storage import stored
 from .graph import components
 
 PROB = "match_probability"
@@ -40,7 +41,7 @@ def star_prune(members: DataFrame, links: DataFrame, config: ClusterConfig) -> D
 def cluster(scored: DataFrame, config: ClusterConfig | None = None) -> DataFrame:
     """record_id, entity (its smallest record), score (best incident match), method; entities of two records or more."""
     config = config or ClusterConfig()
-    links = edges(scored, config)
+    links = stored(edges(scored, config), "links")
     found = components(links.select("a", "b")).select(F.col("node").alias("record_id"), F.col("component").alias("entity"))
     members = star_prune(found, links, config)
     ends = partition_by_band(scored, AUTO_MATCH).select(F.inline(F.array(F.struct(F.col("a").alias("record_id"), F.col(PROB).alias("p")), F.struct(F.col("b").alias("record_id"), F.col(PROB).alias("p")))))

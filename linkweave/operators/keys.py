@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -242,10 +243,11 @@ class GeoGrid(BlockingKey):
 
 
 class CustomKey(BlockingKey):
-    """A user's key: any column of strings or of arrays of strings."""
+    """A user's key: a column of strings or of arrays of strings, or a function that gives it."""
 
-    def __init__(self, namespace: str, column: Column, many: bool = False):
+    def __init__(self, namespace: str, column: Column | Callable[[], Column], many: bool = False):
         self.namespace, self.column, self.many = namespace, column, many
 
     def values(self):
-        return self.column if self.many else one(self.column)
+        column = self.column() if callable(self.column) else self.column
+        return column if self.many else one(column)

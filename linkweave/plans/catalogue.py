@@ -23,6 +23,7 @@ from ..operators.compare import THRESHOLDS, FieldComparator, level
 from ..operators.graph import components
 from ..sources import ingest
 from ..sources.store import EntityStore
+from ..storage import stored
 from ..streaming.ingester import Ingester, RateAdapter
 from . import views
 from .pipeline import Pipeline
@@ -176,7 +177,7 @@ keyed("key_soundex_year", people, K.PhoneticNameDob("last", "dob", "soundex"), f
 
 # --- blocking
 
-BLOCK = K.CustomKey("block", F.concat_ws("|", "brand", "type"))
+BLOCK = K.CustomKey("block", lambda: F.concat_ws("|", "brand", "type"))
 PART_INDEX = f"{PART_SQL}, idx AS (SELECT 'block:' || brand || '|' || type AS block_key, record_id FROM rec)"
 CAP_SQL = "idx WHERE block_key IN (SELECT block_key FROM idx GROUP BY block_key HAVING count(*) <= {cap})"
 
@@ -363,7 +364,7 @@ BAND = "CASE WHEN p >= {u} THEN 'AutoMatch' WHEN p < {l} THEN 'AutoReject' ELSE
 
 
 def part_scored(s, d, p=None) -> DataFrame:
-    return em.score(part_compared(s, d), LEVELS, p or DEFAULT)
+    return em.score(stored(part_compared(s, d), "compared"), LEVELS, p or DEFAULT)
 
 
 entry("score_default_params", f"{SCORED} SELECT a, b, round(w, 6) AS match_weight, round(p, 6) AS match_probability, {BAND.format(u=0.85, l=0.15)} AS band FROM s")(
@@ -401,7 +402,7 @@ def ranked(keep: str, q: float, order: str = "p") -> str:
     return f"(SELECT min(p) FROM (SELECT p, sum(n) OVER (ORDER BY p) AS c, sum(n) OVER () AS tot FROM s WHERE {keep}) WHERE tot >= 10 AND c > floor({q} * tot))"
 
 
-@entry("calibrate_thresholds", f"{STEP} SELECT round(coalesce(greatest({ranked('p >= 0.7', 0.05)}, 0.85), 0.9), 6) AS upper, round(coalesce(least({ranked('p <= 0.3', 0.95)}, 0.15), 0.1), 6) AS lower")
+@entry("calibrate_thresholds", f"{STEP} , k AS (SELECT {ranked('p >= 0.7', 0.05)} AS hi, {ranked('p <= 0.3', 0.95)} AS lo) SELECT CASE WHEN hi IS NULL THEN 0.9 ELSE round(greatest(hi, 0.85::DOUBLE), 6) END::DOUBLE AS upper, CASE WHEN lo IS NULL THEN 0.1 ELSE round(least(lo, 0.15::DOUBLE), 6) END::DOUBLE AS lower FROM k")
 def calibrate_thresholds(s, d):
     x, n = em.collected(em.patterns(part_compared(s, d), LEVELS), LEVELS)
     up, low = em.calibrated(em.probabilities(x, DEFAULT), n)
@@ -454,11 +455,11 @@ def people_compared(s, d) -> DataFrame:
 
 
 def people_scored(s, d) -> DataFrame:
-    return em.score(people_compared(s, d), LEVELS, PEOPLE_DEFAULT)
+    return em.score(stored(people_compared(s, d), "compared"), LEVELS, PEOPLE_DEFAULT)
 
 
 def people_members(s, d) -> DataFrame:
-    return C.cluster(people_scored(s, d)).join(people(s, d).select("record_id", "record_key", "source"), "record_id")
+    return stored(C.cluster(people_scored(s, d)).join(people(s, d).select("record_id", "record_key", "source"), "record_id"), "members")
 
 
 entry("levels_people", f"{PEOPLE_SCORED} SELECT a, b, lvl_0, lvl_1, lvl_2, lvl_3 FROM lv")(people_compared)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import ModelParams, StoreError
+from ..storage import shared_dir, stored
 
 MEMBERS = "entity_id long, record_id long, record_key string, score double, method string, source string"
 EVENTS = "event_type string, entity_id long, n_records long, step long"
@@ -19,8 +20,6 @@ class EntityStore:
     """Members and events as Parquet versions under a folder; a version is written whole, then named current."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        from ..storage import shared_dir
-
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/entities-{uuid.uuid4().hex}"
         self.version = {"members": None, "events": None}
 
@@ -45,23 +44,20 @@ class EntityStore:
         A cluster joins the entity of its first stored record (the smallest record_id); without one it becomes a new entity, numbered on
         in the order of the clusters. Records that are stored already stay where they are; entities never merge.
         """
-        now = self.members()
+        members, now = stored(members, "upsert"), self.members()
         known = members.join(now.select("record_id", "entity_id"), "record_id")
         joined = known.groupBy("entity").agg(F.min(F.struct("record_id", "entity_id"))["entity_id"].alias("entity_id"))
         fresh = members.select("entity").distinct().join(joined, "entity", "left_anti")
         top = now.agg(F.coalesce(F.max("entity_id"), F.lit(0))).first()[0]
         # one row a new entity; ids count on from the largest
         numbered = fresh.withColumn("entity_id", (F.row_number().over(Window.orderBy("entity")) + top).cast("long"))
-        ids = joined.withColumn("created", F.lit(False)).unionByName(numbered.withColumn("created", F.lit(True)))
+        ids = stored(joined.withColumn("created", F.lit(False)).unionByName(numbered.withColumn("created", F.lit(True))), "upsert")
         added = members.join(ids, "entity").join(now.select("record_id"), "record_id", "left_anti")
-        new = added.select("entity_id", "record_id", "record_key", "score", "method", "source", "created")
+        new = stored(added.select("entity_id", "record_id", "record_key", "score", "method", "source", "created"), "upsert")
         step = (self.events().agg(F.coalesce(F.max("step"), F.lit(0))).first()[0]) + 1
         events = new.groupBy("entity_id", "created").agg(F.count("*").alias("n_records")).select(F.when(F.col("created"), "EntityCreated").otherwise("RecordsAdded").alias("event_type"), "entity_id", "n_records", F.lit(step).cast("long").alias("step"))
         whole = now.unionByName(new.drop("created"))
         log = self.events().unionByName(events)
-        from ..storage import stored
-
-        ids = stored(ids, "upsert")
         self._swap("events", log)
         self._swap("members", whole)
         return ids
