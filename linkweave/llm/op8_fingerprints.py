@@ -46,14 +46,12 @@ def exact_groups(df: DataFrame) -> DataFrame:
     splits by the forms themselves. Aggregations combine before the shuffle, so a huge group is no hot task.
     """
     f = fingerprints(df.select("doc_id", "text")).select("doc_id", "fingerprint", "canonical")
-    buckets = f.groupBy("fingerprint").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high"), F.min("doc_id").alias("first_id"))
-    mixed = F.broadcast(buckets.where("low <> high").select("fingerprint").limit(10_000))  # 128-bit collisions: none expected
-    split = f.join(mixed, "fingerprint", "left_semi").groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("split_id"))
-    return (
-        f.join(buckets.select("fingerprint", F.expr("low <> high").alias("mixed"), "first_id"), "fingerprint")
-        .join(split, (F.col("mixed")) & (f.fingerprint == split.fingerprint) & (f.canonical == split.canonical), "left")
-        .select("doc_id", f.fingerprint, F.coalesce("split_id", "first_id").alias("group_id"))
-    )
+    buckets = f.groupBy("fingerprint").agg(F.expr("min(canonical) <> max(canonical)").alias("mixed"), F.min("doc_id").alias("first_id"))
+    marked = f.join(buckets, "fingerprint")
+    split = marked.where("mixed").groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("split_id"))
+    split = split.select(F.col("fingerprint").alias("fp"), F.col("canonical").alias("form"), "split_id")
+    same = F.col("mixed") & (F.col("fingerprint") == F.col("fp")) & (F.col("canonical") == F.col("form"))
+    return marked.join(split, same, "left").select("doc_id", "fingerprint", F.coalesce("split_id", "first_id").alias("group_id"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
