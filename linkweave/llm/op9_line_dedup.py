@@ -47,8 +47,8 @@ class LineIndex:
         self.spark, self.min_chars, self.levels = spark, min_chars, {}
 
     def run_of(self, docs: DataFrame) -> DataFrame:
-        keys = F.array_distinct(F.filter(keys_of(F.col("text").cast("string")), lambda k: F.length(k) >= self.min_chars))
-        return docs.select(F.explode(keys).alias("key")).select(*hashes(F.col("key"))).groupBy(*HASH).agg(F.count("*").alias("n_docs"))
+        keys = F.array_distinct(keys_of(F.col("text").cast("string")))
+        return docs.select(F.explode(keys).alias("key")).where(F.length("key") >= self.min_chars).select(*hashes(F.col("key"))).groupBy(*HASH).agg(F.count("*").alias("n_docs"))
 
     def add(self, docs: DataFrame) -> None:
         """Adds a batch's run, and merges equal levels."""
@@ -92,18 +92,20 @@ def dedup_lines(docs: DataFrame, index: LineIndex, min_docs: int = MIN_DOCS) ->
     spark = docs.sparkSession
     row = F.struct(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
     common_lines = common.stored(index.frequent(min_docs), "lines-frequent", spark)
-    lines = docs.select(F.xxhash64(row).alias("__a"), F.hash(row).alias("__b"), F.posexplode(keys_of(F.col("text").cast("string"))).alias("pos", "key"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = docs.select(F.xxhash64(row).alias("__a"), F.hash(row).alias("__b"), F.posexplode(F.split(lower_az(text), "\n")).alias("pos", "line"))
+    lines = lines.withColumn("key", F.trim("line", F.lit(common.BLANK)))
     lines = lines.where(F.length("key") >= index.min_chars).select("__a", "__b", "pos", *hashes(F.col("key")))
     small = common_lines.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hit = lines.join(F.broadcast(common_lines) if small else common_lines, HASH, "left_semi")
     drop = hit.groupBy("__a", "__b").agg(F.collect_set("pos").alias("__drop"))
     both = docs.drop("lines_dropped").withColumns({"__a": F.xxhash64(row), "__b": F.hash(row)}).join(drop, ["__a", "__b"], "left")
-    split = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    both = both.withColumn("__lines", split)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    both = both.withColumns({"text": text, "lines_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")})
-    return both.select(*[c for c in docs.columns if c != "lines_dropped"], "lines_dropped", F.size("__lines").cast("long").alias("__n_lines"))
+    # only texts that lose lines are split; the others are passed on
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    kept = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("__drop"))
+    rest = common.let(F.split(text, "\n"), lambda all_: F.array_join(F.transform(kept, lambda i: F.get(all_, i)), "\n"))
+    both = both.withColumns({"text": F.when(F.col("__drop").isNull(), F.col("text")).otherwise(rest), "__n_lines": n_lines.cast("long"), "lines_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")})
+    return both.select(*[c for c in docs.columns if c != "lines_dropped"], "lines_dropped", "__n_lines")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
