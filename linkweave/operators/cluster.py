@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import AUTO_MATCH, ClusterConfig
-from ..storage import stored
+from ..storage import numbered, stored
 from .graph import components
 
 PROB = "match_probability"
@@ -50,6 +50,5 @@ def cluster(scored: DataFrame, config: ClusterConfig | None = None) -> DataFrame
 
 
 def dense_ids(members: DataFrame) -> DataFrame:
-    """Entities numbered 1 to n by their smallest record; the numbering runs over entities, one row each."""
-    order = members.select("entity").distinct().withColumn("entity_id", F.row_number().over(Window.orderBy("entity")).cast("long"))
-    return members.join(order, "entity")
+    """Entities numbered 1 to n by their smallest record."""
+    return members.join(numbered(members.select("entity").distinct(), "entity", "entity_id"), "entity")

@@ -6,11 +6,11 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ModelParams, StoreError
-from ..storage import shared_dir, stored
+from ..storage import numbered, shared_dir, stored
 
 MEMBERS = "entity_id long, record_id long, record_key string, score double, method string, source string"
 EVENTS = "event_type string, entity_id long, n_records long, step long"
@@ -49,9 +49,8 @@ class EntityStore:
         joined = known.groupBy("entity").agg(F.min(F.struct("record_id", "entity_id"))["entity_id"].alias("entity_id"))
         fresh = members.select("entity").distinct().join(joined, "entity", "left_anti")
         top = now.agg(F.coalesce(F.max("entity_id"), F.lit(0))).first()[0]
-        # one row a new entity; ids count on from the largest
-        numbered = fresh.withColumn("entity_id", (F.row_number().over(Window.orderBy("entity")) + top).cast("long"))
-        ids = stored(joined.withColumn("created", F.lit(False)).unionByName(numbered.withColumn("created", F.lit(True))), "upsert")
+        fresh = numbered(fresh, "entity", "entity_id", top)
+        ids = stored(joined.withColumn("created", F.lit(False)).unionByName(fresh.withColumn("created", F.lit(True))), "upsert")
         added = members.join(ids, "entity").join(now.select("record_id"), "record_id", "left_anti")
         new = stored(added.select("entity_id", "record_id", "record_key", "score", "method", "source", "created"), "upsert")
         step = (self.events().agg(F.coalesce(F.max("step"), F.lit(0))).first()[0]) + 1

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
+    """df with rows numbered from start + 1 in the order of a unique key, without a task that sees all rows.
+
+    Rows are dealt by ranges of the key; each range counts its own, and only the ranges' sizes (one row a partition) are summed in one place.
+    """
+    ranged = stored(df.repartitionByRange(key).withColumn("__range", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    out = ranged.withColumn("__rank", rank).join(F.broadcast(offsets), "__range")
+    return out.withColumn(name, (F.col("__rank") + F.col("__before") + start).cast("long")).drop("__range", "__rank", "__before")
+
+
 def forget(*dfs: DataFrame) -> None:
     """Deletes tables that stored() made and that no plan needs any more."""
     for df in dfs:
