@@ -247,3 +247,17 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), 3, 85)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+one AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM t WHERE len(w) >= 3),
+three AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS s FROM one WINDOW o AS (PARTITION BY r ORDER BY i)),
+sh AS (SELECT DISTINCT doc_id, s FROM three WHERE s IS NOT NULL UNION SELECT doc_id, array_to_string(w, ' ') FROM t WHERE len(w) BETWEEN 1 AND 2),
+c AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * k >= 85 * (ca.n + cb.n - k)),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT x.other, r.root FROM r JOIN (SELECT a AS node, b AS other FROM e UNION SELECT b, a FROM e) x ON x.node = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, doc_id = root AS kept FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN c USING (doc_id)
+"""
