@@ -16,6 +16,9 @@ date     9999-99-99, 99.99.9999, 99/99/9999         calendar, 1900 to 2099   the
 Digits permute by a Feistel network of ROUNDS rounds (halves of the digit string, SHA-256 of key, kind, round and other half as round function);
 domains that aren't a power of the base are walked until the result is valid. Values that fail validation stay as they are.
 
+A phone number or IBAN ends where its neighbour begins: a phone has at most 15 digits and, once it has 8, takes no group that begins a value of another
+kind; an IBAN of a registered country has that country's length. Bare groups of four digits just before a grouped card can't be told from the card.
+
 Null texts stay null, empty ones empty; whole texts of any length are searched. Repeated rows each give a row, and ties can't occur. Columns other than
 text pass through; columns named n_replaced or kinds are replaced. Control characters that mark matches inside are escaped first.
 """
@@ -33,16 +36,49 @@ from .common import let
 KEY, ROUNDS, PIECE, STEPS = "linkweave-1", 10, 20, 48
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
+#: Registered countries by the length of their IBANs.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "phone": "",
+    "iban": "",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![./-]?[0-9])",
 }
+LOCAL = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
+
+
+def phone_pattern() -> str:
+    other = "|".join([*(PATTERNS[k] for k in ("email", "secret", "ip", "ssn", "date")), rf"(?<![0-9])(?:{LOCAL})(?![0-9])"])
+    # after a country code, a grouped card has too many digits for a phone
+    start = r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?(?![0-9]{4}(?:(?:[ -][0-9]{4}){3}|[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))[0-9]{1,4})"
+    digit = r"[ .()-]{0,2}[0-9]"  # spelled out, as a lookbehind takes no repeated groups
+    size = rf"\+{digit * 8}{f'(?:{digit})?' * 7}"
+    # a phone's last group and a card's first ones look like a card too, so cards count from 8 digits on
+    own = rf"(?!{other})(?!(?<={size}[ .-]){PATTERNS['card']})"
+    # another kind's form inside is taken only whole, where too few digits are before it
+    return rf"(?<![0-9+])(?:{start}(?:[ .-]?{own}[0-9]{{2,4}}){{2,4}}(?<={size})|{start}(?:[ .-]?[0-9]{{2,4}}){{2,4}}(?<={size})(?![.-][0-9])|{LOCAL})(?![0-9])"
+
+
+def iban_pattern() -> str:
+    known = []
+    for size, countries in IBANS.items():
+        groups, rest = divmod(size - 4, 4)
+        spaced = f"(?: [A-Z0-9]{{4}}){{{groups}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+        known.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{size - 4}}}|{spaced})(?![A-Za-z0-9])")
+    other = "|".join([*(PATTERNS[k] for k in ("email", "secret", "ip", "ssn", "date")), rf"(?:{LOCAL})(?![0-9])"])
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(known)}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: (?!{other})[A-Z0-9]{{4}}){{2,7}}(?: (?!{other})[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9]))"
+
+
+PATTERNS["phone"] = phone_pattern()
+PATTERNS["iban"] = iban_pattern()
 ANY = "|".join(PATTERNS.values())
 MARK, ESCAPE = "\x01", "\x02"
 

@@ -264,6 +264,22 @@ def test_op7_pseudonyms(spark, empty):
     assert op7_pii.pseudonymise(empty).count() == 0
 
 
+def test_op7_neighbours(spark):
+    """Values of each pair of kinds with one blank between are both replaced, each as it is alone."""
+    more = ["BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32", "4111 1111 1111 1111", "3782 822463 10005", "+33 1 23 45 67 89", "+49 30 12345678", "+1 706 555 3138", "(706) 555-3138", "706-555-3138", "19.he@mail.example.com", "12.05.2020"]
+    values = [*PII, *more]
+    pairs = [(p, q) for p in values for q in values]
+    texts = values + [f"{p} {q}" for p, q in pairs] + ["+1 (826) 555-4081 190.137.223.204 du anviou", "+49 30 12345678-0", "+44 900-45-6789"]
+    got = by_id(op7_pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    alone = {p: got[i]["text"] for i, p in enumerate(values)}
+    assert all(got[i]["n_replaced"] == 1 and alone[p] != p for i, p in enumerate(values))
+    for i, (p, q) in enumerate(pairs, len(values)):
+        assert got[i]["text"] == f"{alone[p]} {alone[q]}" and got[i]["n_replaced"] == 2, (p, q, got[i]["text"])
+    last = [got[i] for i in range(len(texts) - 3, len(texts))]
+    assert last[0]["kinds"] == "ip,phone" and last[0]["n_replaced"] == 2 and "223.204" not in last[0]["text"]
+    assert all(r["kinds"] == "phone" and r["n_replaced"] == 1 for r in last[1:])
+
+
 def test_op7_network_permutes(spark):
     """Every two-digit text, and every date of the years in question, has its own pseudonym."""
     two = spark.range(100).select(op7_pii.feistel(F.lpad(F.col("id").cast("string"), 2, "0"), 10, "t", "k").alias("x"))
