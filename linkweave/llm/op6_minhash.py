@@ -117,8 +117,8 @@ def estimate(a: str, b: str) -> Column:
 def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * |intersection| >= percent * |union|, on the full sets, as (a, b).
 
-    A document with many partners is salted: its text goes to as many groups as it has 64 partners. Rows are sorted by group, so a
-    worker holds one set at a time.
+    Where an id has several texts, one combination is enough. A document with many partners is salted: its text goes to as many groups as it
+    has 64 partners. Rows are sorted by group, so a worker holds the sets of one id at a time.
     """
     spark = pairs.sparkSession
     common.small_batches(spark)
@@ -131,27 +131,32 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
-    # every text, not only a class's first, could bear a shared id: the worker takes the first of an id
     rows = texts.join(asked, "id").select("a", "salt", (F.col("id") != F.col("a")).alias("other"), F.col("id").alias("b"), "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other", "b", "text")
 
     def run(batches):
-        hashes, head, at, last = WordHashes(), None, None, None
+        hashes, heads, at, last, linked = WordHashes(), [], None, None, None
         for batch in batches:
             got_a, got_b = [], []
             for a, salt, other, b, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if not other:
                     if at != (a, salt):
-                        head, at, last = shingles(text, n, hashes), (a, salt), None
+                        heads, at, last, linked = [], (a, salt), None, None
+                    if last != (a, text):
+                        heads.append(shingles(text, n, hashes))
+                        last = (a, text)
                     continue
-                if last == b or at != (a, salt):
+                if linked == b or last == (b, text) or at != (a, salt):
                     continue
-                last = b
+                last = (b, text)
                 s = shingles(text, n, hashes)
-                both = len(np.intersect1d(head, s, assume_unique=True))
-                if 100 * both >= percent * (len(head) + len(s) - both) and both:
-                    got_a.append(a)
-                    got_b.append(b)
+                for head in heads:
+                    both = len(np.intersect1d(head, s, assume_unique=True))
+                    if 100 * both >= percent * (len(head) + len(s) - both) and both:
+                        got_a.append(a)
+                        got_b.append(b)
+                        linked = b
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.int64()), pa.array(got_b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")

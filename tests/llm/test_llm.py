@@ -240,6 +240,21 @@ def test_op6_second_round_finds_links_past_the_center(spark):
     assert {r["component_id"] for r in all_rows(op6_minhash.near_duplicates(d, 3, 80))} == {0}
 
 
+def test_op6_texts_of_a_shared_id(spark):
+    """Every text of an id counts, whichever comes first: by brute force over all combinations."""
+    base = [prose(60) for _ in range(4)]
+    edited = lambda t: " ".join(t.split()[:-1] + ["other"])
+    rows = [(1, "aa " + base[0]), (1, "zz " + base[1]), (2, edited("zz " + base[1])), (3, "aa " + base[2]), (3, "zz " + base[3]), (4, "ab " + prose(60)), (4, edited("zz " + base[3])), (4, None), (5, prose(60))]
+    sets, root = sets_of([t for _, t in rows], 3), {i: i for i, _ in rows}
+    for (i, _), x in zip(rows, sets):
+        for (j, _), y in zip(rows, sets):
+            if i < j and 100 * len(x & y) >= 80 * max(1, len(x | y)):
+                root[j] = min(root[i], root[j])
+    assert root == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    got = all_rows(op6_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80))
+    assert len(got) == len(rows) and all(r["component_id"] == root[r["doc_id"]] for r in got if r["n_shingles"])
+
+
 PII = {
     "he.19@mail5.example.com": "email", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff": "secret", "152.143.123.131": "ip", "+1 (706) 555-3138": "phone",
     "NL91 ABNA 0417 1643 00": "iban", "4644348398010899": "card", "4111-1111-1111-1111": "card", "123-45-6789": "ssn", "2024-02-29": "date", "31/12/1999": "date",
