@@ -377,3 +377,16 @@ def test_pipeline_stages_on_small_tables(spark, docs, tmp_path):
     assert corpus_pipeline.quality(spark, plain, sf).columns == plain.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, plain.where("false"), sf).count() == 0
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    """Rows of one id are dropped only as near duplicates, and always the same ones, however they are dealt."""
+    base = [prose(60) for _ in range(4)]
+    rows = [(1, base[0], "b"), (1, base[0], "a"), (1, base[1], "c"), (1, None, "d"), (2, base[1] + " more", "e"), (3, base[2], "f"), (3, base[2] + " more", "g"), (4, base[3], "h"), (None, base[3], "i")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {(1, base[0], "a"), (1, None, "d"), (2, base[1] + " more", "e"), (3, base[2], "f"), (4, base[3], "h"), (None, base[3], "i")}
+    for n in (1, 3):
+        got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, d.repartition(n), "").collect()]
+        assert set(got) == want and len(got) == len(want)
+    unlike = spark.createDataFrame([(7, t, "x") for t in base], "doc_id long, text string, source string")
+    assert corpus_pipeline.near_duplicates(spark, unlike, "").count() == 4
