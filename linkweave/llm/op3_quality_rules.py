@@ -1,9 +1,10 @@
 """Quality rules as a bitmask ledger, in DataFrame functions only.
 
 measure() reads every whole text once and evaluates every rule once: the ledger has a document's measurements and `failed`, an
-integer with one bit for each failed rule. Policies are versioned masks over those bits; applying one, or asking
-what a policy would keep without one of its rules, never reads a text again. Ablations aggregate the
-masks: first to one row for each distinct mask (at most 2^rules rows), then by bit operations.
+integer with one bit for each failed rule. Policies are versioned masks over those bits. stored_ledger() writes the ledger: applying a policy
+to it, or asking what a policy would keep without one of its rules, never reads a text again. Ablations aggregate the
+masks: first to one row for each distinct mask (at most 2^rules rows), then by bit operations. The query applies one policy, so it
+stores nothing and computes no ablations.
 
 Null and empty texts have no words: all measures are 0 and the rule few_words fails. Ties don't occur: a
 document's row depends on its own text alone, and repeated rows each give a row. Input columns other than
@@ -82,6 +83,11 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return t.withColumn("failed", sum(bits[1:], bits[0]))
 
 
+def stored_ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger as a table, for several policies or ablations."""
+    return common.stored(measure(df, id_col, text_col), "ledger")
+
+
 def apply_policy(ledger: DataFrame, policy: str | int = PRODUCTION) -> DataFrame:
     """The ledger with base_failed and the policy's kept."""
     mask = POLICIES[policy] if isinstance(policy, str) else policy

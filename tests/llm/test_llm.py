@@ -126,6 +126,15 @@ def test_op3_ablation_equals_reapplied_policies(docs):
         assert (r["n_docs"], r["n_kept"]) == (len(masks), sum(m & mask == 0 for m in masks))
 
 
+def test_op3_stored_ledger_reads_no_text_again(spark):
+    path = common.fresh_path(spark, "op3")
+    spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(path)
+    ledger = op3_quality_rules.stored_ledger(spark.read.parquet(path))
+    for df in (ledger, op3_quality_rules.apply_policy(ledger, "base"), op3_quality_rules.ablate(ledger)):
+        assert df.inputFiles() and not any(path.split("/")[-1] in f for f in df.inputFiles())
+    assert op3_quality_rules.apply_policy(ledger).count() == len(TEXTS)
+
+
 def brute4(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
