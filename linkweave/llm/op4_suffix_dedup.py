@@ -2,16 +2,20 @@
 
 A byte goes if a LENGTH-byte string that covers it also starts anywhere else in the input. Every LENGTH-byte window picks an anchor: the
 K-gram inside it with the smallest hash, the leftmost of equals. Equal windows pick equal anchors at equal offsets, so only suffixes
-around anchors (about 2 in LENGTH-K bytes) need an index entry. The windows of one anchor are adjacent and form a segment. A suffix array
-is a table of the distinct segments of some batches, sorted by (hash of the anchor's K-gram, hash of the whole segment with its
-context), with the number of occurrences and one place: entries of equal anchors are neighbours. It is ordered by hash and not by
-alphabet, since only equality of long strings counts. A new batch's array enters on level 0; two arrays of equal level are merge-scanned
-into one of the next level, adding up their occurrences, so n batches leave at most log2(n) arrays.
+around anchors (about 2 in LENGTH-K bytes) need an index entry. The windows of one anchor are adjacent and form a segment. A sparse suffix
+array is a table of the distinct segments of some batches, sorted by the suffix that starts at the anchor: alphabetically by its first HEAD
+bytes, then by the hash of the K-gram and the hash of the whole segment, with the number of occurrences and one place. Entries that share K bytes or more
+are neighbours; the order among equal heads is of no account, since only equality of long strings counts.
 
-The scan over the remaining levels finds the matches: a segment that occurs twice is repeated whole; different segments that share an anchor
-are compared window by window, one place of each. Such a group is compared in one task up to GROUP segments; the windows of larger groups
-become rows and are counted by key in a distributed way, so no group is gathered or capped. Hashes have 64 bits for the anchor and 64 for the
-content, from independent polynomials over random byte values.
+A new batch's array is merge-scanned against the array of each existing level before it joins them: an entry met again is a segment
+that is repeated whole; different segments of one anchor share K bytes and are long matches to be extended. Matches among the levels' own entries were found
+when the later of them came, so each pair of batches is looked at once and no pass over the whole index follows. Then the array enters on level
+0, and two arrays of equal level merge into one of the next, adding up their occurrences: n batches leave at most log2(n) + 1 arrays.
+
+At the end the matches of all scans are extended: different segments of one anchor are compared window by window, one place of each, read from the
+texts. Such a group is compared in one task up to GROUP segments; the windows of larger groups become rows and are counted by key in a
+distributed way, so no group is gathered or capped. Hashes have 64 bits for the anchor and 64 for the content, from independent
+polynomials over random byte values. A query over one table deals its rows into BATCHES batches.
 
 Null and empty texts have no bytes and lose none, like all texts below LENGTH bytes. Repeated rows are each other's copies. Rows that share an id
 are told apart by a hash of the text. Texts of any length are cut into overlapping blocks of BLOCK windows, so memory is
@@ -21,16 +25,17 @@ bounded. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-LENGTH, K, BATCHES = 400, 200, 2
-GROUP = 4096
+LENGTH, K, HEAD, BATCHES = 400, 200, 8, 4
+GROUP = 256
 BLOCK = 1 << 20
 POSITION = np.uint64((1 << 21) - 1)
 _rng = np.random.default_rng(4)
@@ -74,7 +79,7 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) ->
 
 
 def segments(data: np.ndarray, length: int = LENGTH, k: int = K):
-    """anchor hash, segment hash, first and last window start of each segment, in order."""
+    """The anchor's first HEAD bytes as an ordered number, its hash, segment hash, first and last window start of each segment, in order."""
     found = []
     for at in range(0, len(data) - length + 1, BLOCK):
         part = data[at : at + BLOCK + length - 1]
@@ -91,9 +96,13 @@ def segments(data: np.ndarray, length: int = LENGTH, k: int = K):
         anchor = pos[first]
         shape = ((anchor - first).astype(np.uint64) << np.uint64(24)) + (last - first).astype(np.uint64)
         whole = mixed(mixed(between(b, first, last + length, 1)) + mixed(shape))
-        found.append((grams[anchor].view(np.int64), whole.view(np.int64), first + at, last + at))
+        head = np.zeros(len(anchor), np.uint64)
+        for j in range(min(HEAD, k)):
+            head = head << np.uint64(8) | part[anchor + j]
+        head = (head ^ np.uint64(1 << 63)).view(np.int64)  # signed order is the bytes' order
+        found.append((head, grams[anchor].view(np.int64), whole.view(np.int64), first + at, last + at))
     if not found:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 5
     return tuple(map(np.concatenate, zip(*found)))
 
 
@@ -108,7 +117,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return d.withColumns({"ra": F.xxhash64(row), "rb": F.hash(row)})
 
 
-ENTRY = "ra long, rb int, kh long, sh long, n long, first long, last long"
+ENTRY = "ra long, rb int, head long, kh long, sh long, n long, first long, last long"
 
 
 def entries(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -119,13 +128,13 @@ def entries(docs: DataFrame, length: int, k: int) -> DataFrame:
         for batch in batches:
             out = []
             for ra, rb, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                kh, sh, first, last = segments(np.frombuffer(raw(text), np.uint8), length, k)
+                head, kh, sh, first, last = segments(np.frombuffer(raw(text), np.uint8), length, k)
                 if len(kh):
-                    order = np.lexsort((first, sh, kh))
-                    kh, sh, first, last = kh[order], sh[order], first[order], last[order]
+                    order = np.lexsort((first, sh, kh, head))
+                    head, kh, sh, first, last = (x[order] for x in (head, kh, sh, first, last))
                     new = np.flatnonzero(np.concatenate([[True], (kh[1:] != kh[:-1]) | (sh[1:] != sh[:-1])]))
                     n = np.diff(np.concatenate([new, [len(kh)]]))
-                    out.append((np.full(len(new), ra), np.full(len(new), rb, np.int32), kh[new], sh[new], n, first[new], last[new]))
+                    out.append((np.full(len(new), ra), np.full(len(new), rb, np.int32), head[new], kh[new], sh[new], n, first[new], last[new]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=[x.split()[0] for x in ENTRY.split(", ")])
 
@@ -133,51 +142,74 @@ def entries(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 class SuffixIndex:
-    """The family: at most one array on each level, stored in the shared folder."""
+    """The family: at most one array on each level, stored in the shared folder, and the matches that the batches' scans found.
+
+    The newest batch's array waits as `newest` until the next one comes, so the last and largest merge isn't made before it is of use.
+    """
 
     def __init__(self, spark: SparkSession, length: int = LENGTH, k: int = K):
         self.spark, self.length, self.k = spark, length, k
         self.levels: dict[int, DataFrame] = {}
+        self.newest: DataFrame | None = None
         self.members: list[DataFrame] = []
+        self.matches: list[DataFrame] = []
 
     @staticmethod
-    def merged(rows: DataFrame) -> DataFrame:
+    def merged(rows: DataFrame, *more: Column) -> DataFrame:
         place = F.min(F.struct("ra", "rb", "first", "last")).alias("p")
-        return rows.groupBy("kh", "sh").agg(F.sum("n").alias("n"), place).select("kh", "sh", "n", "p.*")
+        return rows.groupBy("head", "kh", "sh").agg(F.sum("n").alias("n"), place, *more).select("head", "kh", "sh", "n", "p.*", *(c for c in rows.columns if c == "new"))
+
+    def arranged(self, rows: DataFrame, level: int) -> DataFrame:
+        """One array of the rows, in suffix order inside each partition."""
+        return common.stored(self.merged(rows).sortWithinPartitions("head", "kh", "sh"), f"suffix-{level}", self.spark)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Takes in a batch and returns its matches."""
+        return self.add_entries(common.stored(entries(docs, self.length, self.k), "suffix-members", self.spark))
 
-    def add(self, docs: DataFrame) -> None:
-        members = common.stored(entries(docs, self.length, self.k), "suffix-members", self.spark)
+    def add_entries(self, members: DataFrame) -> DataFrame:
         self.members.append(members)
-        self.put(0, common.stored(self.merged(members).sortWithinPartitions("kh", "sh"), "suffix-0", self.spark))
+        if self.newest is not None:
+            self.put(0, self.newest)
+        self.newest = self.arranged(members, 0)
+        self.matches.append(common.stored(self.scan(self.newest), "suffix-matches", self.spark))
+        return self.matches[-1]
 
     def put(self, level: int, array: DataFrame) -> None:
         if level not in self.levels:
             self.levels[level] = array
             return
         other = self.levels.pop(level)
-        both = self.merged(array.unionByName(other)).sortWithinPartitions("kh", "sh")
-        up = common.stored(both, f"suffix-{level + 1}", self.spark)
+        up = self.arranged(union([array, other]), level + 1)
         common.forget(self.spark, array, other)
         self.put(level + 1, up)
 
-    def all(self) -> DataFrame:
-        arrays = list(self.levels.values())
-        if len(arrays) == 1:
-            return arrays[0]
-        rows = arrays[0]
-        for a in arrays[1:]:
-            rows = rows.unionByName(a)
-        return self.merged(rows)
+    def scan(self, array: DataFrame) -> DataFrame:
+        """The entries of a new array and of the levels, merged by suffix, that take part in a match with a new one.
+
+        whole: the segment occurs twice, in the batch or in the batch and the levels; else it shares its anchor with a different
+        segment. Only a match of at least the anchor's K bytes that involves the batch comes out: the levels' own matches were found before.
+        """
+        rows = array.withColumn("new", F.lit(True))
+        if self.levels:
+            rows = union([rows, *(x.withColumn("new", F.lit(False)) for x in self.levels.values())])
+            rows = self.merged(rows, F.max("new").alias("new"))
+        near = rows.groupBy("head", "kh").agg(F.count("*").alias("size"), F.max("new").alias("fresh")).where("size > 1 AND fresh").select("head", "kh", "size")
+        whole = (F.col("n") > 1) & F.col("new")
+        found = rows.join(near, ["head", "kh"], "left").where(whole | F.col("size").isNotNull())
+        return found.select("kh", "sh", "ra", "rb", "first", "last", (F.col("n") > 1).alias("whole"), F.col("size").isNotNull().alias("shared"))
 
     def repeated(self, docs: DataFrame) -> DataFrame:
-        """kh, sh, lo, hi: the windows lo to hi of a segment (counted from its first) that occur elsewhere."""
+        """kh, sh, lo, hi: the windows lo to hi of a segment (counted from its first) that occur elsewhere, from the matches of all batches."""
         spark, length = self.spark, self.length
-        classes = self.all()
-        whole = classes.where("n > 1").select("kh", "sh", F.lit(0).cast("long").alias("lo"), (F.col("last") - F.col("first")).alias("hi"))
-        shared = classes.groupBy("kh").agg(F.count("*").alias("size")).where("size > 1")
-        asked = common.stored(classes.join(shared, "kh").select("ra", "rb", "kh", "sh", "n", "first", "last", "size"), "suffix-asked", spark)
+        place = F.min(F.struct("ra", "rb", "first", "last")).alias("p")
+        matches = union(self.matches).groupBy("kh", "sh").agg(F.max("whole").alias("whole"), F.max("shared").alias("shared"), place).select("kh", "sh", "whole", "shared", "p.*")
+        matches = common.stored(matches, "suffix-all-matches", spark)
+        whole = matches.where("whole").select("kh", "sh", F.lit(0).cast("long").alias("lo"), (F.col("last") - F.col("first")).alias("hi"))
+        shared = matches.where("shared")
+        asked = common.stored(shared.join(shared.groupBy("kh").agg(F.count("*").alias("size")), "kh"), "suffix-asked", spark)
         texts = keyed(docs).select("ra", "rb", "text")
-        one = F.struct("kh", "sh", "n", "first", "last", "size")
+        one = F.struct("kh", "sh", "whole", "first", "last", "size")
         by_doc = asked.groupBy("ra", "rb").agg(F.collect_list(one).alias("asked"))
         wanted = texts.join(by_doc, ["ra", "rb"])
 
@@ -186,7 +218,7 @@ class SuffixIndex:
                 out = []
                 for text, reqs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     data = raw(text)
-                    out += [(r["kh"], r["sh"], r["n"] > 1, r["size"], data[r["first"] : r["last"] + length]) for r in reqs]
+                    out += [(r["kh"], r["sh"], r["whole"], r["size"], data[r["first"] : r["last"] + length]) for r in reqs]
                 yield pa.RecordBatch.from_pylist([dict(zip(("kh", "sh", "whole", "size", "bytes"), x)) for x in out], schema=CUT)
 
         cuts = wanted.select("text", "asked").mapInArrow(cut, "kh long, sh long, whole boolean, size long, bytes binary")
@@ -225,8 +257,18 @@ class SuffixIndex:
         out = common.stored(whole.unionByName(spans), "suffix-spans", spark)
         if cuts.where(F.col("size") > GROUP).limit(1).count():
             out = out.unionByName(common.stored(hits, "suffix-hits", spark))
+        common.forget(spark, matches, asked, cuts)
         return out
 
+    def close(self) -> None:
+        """Deletes the arrays and matches; the members stay for results that read them."""
+        common.forget(self.spark, *self.levels.values(), *self.matches, *([self.newest] if self.newest is not None else []))
+        self.levels, self.matches, self.newest = {}, [], None
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
 
 SPAN = "kh long, sh long, lo long, hi long"
 CUT = pa.schema([("kh", pa.int64()), ("sh", pa.int64()), ("whole", pa.bool_()), ("size", pa.int64()), ("bytes", pa.binary())])
@@ -265,13 +307,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: i
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     index = SuffixIndex(spark, length, k)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    # one pass over the texts gives the entries of all batches
+    members = common.stored(entries(docs, length, k), "suffix-members", spark)
     for i in range(batches):
-        index.add(docs.where(part == i))
+        index.add_entries(members.where(F.pmod("ra", F.lit(batches)) == i))
     spans = index.repeated(docs)
-    members = index.members[0]
-    for m in index.members[1:]:
-        members = members.unionByName(m)
+    index.close()
     marks = members.select("ra", "rb", "kh", "sh").join(spans, ["kh", "sh"]).distinct().groupBy("ra", "rb").agg(F.collect_list(F.struct("kh", "sh", "lo", "hi")).alias("marks"))
     both = keyed(docs).join(marks, ["ra", "rb"], "left").select("doc_id", "text", "marks")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -288,7 +329,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: i
                     for m in marks:
                         at.setdefault((m["kh"], m["sh"]), []).append((m["lo"], m["hi"]))
                     step = np.zeros(len(arr) + 1, np.int32)
-                    kh, sh, first, _ = segments(arr, length, k)
+                    _, kh, sh, first, _ = segments(arr, length, k)
                     for key, f in zip(zip(kh.tolist(), sh.tolist()), first.tolist()):
                         for lo, hi in at.get(key, ()):
                             step[f + lo] += 1

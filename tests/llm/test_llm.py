@@ -399,3 +399,19 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark):
         assert set(got) == want and len(got) == len(want)
     unlike = spark.createDataFrame([(7, t, "x") for t in base], "doc_id long, text string, source string")
     assert corpus_pipeline.near_duplicates(spark, unlike, "").count() == 4
+
+
+def test_op4_batches_are_scanned_against_the_levels(spark):
+    """Six batches: each scan returns the matches of its own batch; the spans so far equal brute force after every batch."""
+    passage, other = prose(150), prose(150)
+    texts = [prose(20) + passage + prose(30), prose(300), passage[7:] + prose(9), other + prose(20), prose(15) + other[5:-5] + passage, prose(200)]
+    index, seen = op4_suffix_dedup.SuffixIndex(spark), []
+    for k, t in enumerate(texts):
+        found = index.add(spark.createDataFrame([(k, t)], "doc_id long, text string"))
+        assert (found.count() > 0) == (k in (2, 4)), k
+        seen.append((k, t))
+        spans = index.repeated(spark.createDataFrame(seen, "doc_id long, text string")).collect()
+        assert bool(spans) == (sum(x[1] for x in brute4([t for _, t in seen], 400)) > 0)
+    assert sorted(index.levels) == [0, 2] and index.newest is not None and len(index.members) == 6
+    got = by_id(op4_suffix_dedup.remove_repeats(spark.createDataFrame(seen, "doc_id long, text string"), batches=6))
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], len(got[i]["spans"]), got[i]["kept_sha256"]) for i in range(6)] == brute4(texts, 400)
