@@ -1,10 +1,12 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame functions only.
 
 A line's key is the line without blanks at its ends and with A-Z lower-cased; its hash has 96 bits. A run is a table,
-sorted by hash, of the distinct line hashes of some batches with the number of documents that hold each. A new batch adds its
-own run on level 0; two runs of one level merge into a run of the next level (their counts add up), so there are at most
-log2(batches) runs. Documents then lose the lines that the runs count in at least min_docs documents: the lines
-merge-anti-join the runs. Counting combines before the shuffle, so a line in every document is no hot key.
+sorted by hash, of the distinct line hashes of some batches with the number of documents that hold each. A new batch is first
+anti-joined with the settled hashes (those that min_docs documents are known to hold, and which need no counting any more), then merge-joined
+with the run of each level: hashes whose counts reach min_docs become settled, the others enter as the batch's own run on level 0. Two runs of one
+level are compacted into a run of the next: their counts add up, and hashes settled meanwhile go. So there are at most log2(batches) + 1 runs,
+and after the last batch the settled hashes are those of all documents. Documents then lose the lines with a settled hash. Counting
+combines before the shuffle, so a line in every document is no hot key. A query over one table deals its rows into BATCHES batches.
 
 A null or empty text is one empty line. Empty keys are never dropped. Each row counts as one document, also a repeated
 one; rows that share an id and differ in text are told apart by a hash of the text. Null ids work like any other value.
@@ -14,13 +16,14 @@ Columns other than doc_id and text pass through dedup_lines unchanged, whatever
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-MIN_DOCS, MIN_CHARS, BATCHES = 10, 1, 2
+MIN_DOCS, MIN_CHARS, BATCHES = 10, 1, 4
 #: Frequent hashes up to this number (20 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 HASH = ["h1", "h2"]
@@ -41,57 +44,66 @@ def hashes(key: Column) -> list[Column]:
 
 
 class LineIndex:
-    """The levels: at most one run on each. Runs are Parquet tables in the shared folder."""
+    """The levels: at most one run on each; and the settled hashes. All are Parquet tables in the shared folder."""
 
-    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS):
-        self.spark, self.min_chars, self.levels = spark, min_chars, {}
+    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
+        self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
+        self.levels: dict[int, DataFrame] = {}
+        self.settled: list[DataFrame] = []
 
-    def run_of(self, docs: DataFrame) -> DataFrame:
+    def run_of(self, docs: DataFrame, *by: str) -> DataFrame:
+        """h1, h2, n_docs (after the columns by, each counted apart)."""
         keys = F.array_distinct(keys_of(F.col("text").cast("string")))
-        return docs.select(F.explode(keys).alias("key")).where(F.length("key") >= self.min_chars).select(*hashes(F.col("key"))).groupBy(*HASH).agg(F.count("*").alias("n_docs"))
+        lines = docs.select(*by, F.explode(keys).alias("key")).where(F.length("key") >= self.min_chars)
+        return lines.select(*by, *hashes(F.col("key"))).groupBy(*by, *HASH).agg(F.count("*").alias("n_docs"))
 
     def add(self, docs: DataFrame) -> None:
-        """Adds a batch's run, and merges equal levels."""
-        self.put(0, common.stored(self.run_of(docs).sortWithinPartitions(*HASH), "lines-0", self.spark))
+        self.add_run(self.run_of(docs))
+
+    def add_run(self, run: DataFrame) -> None:
+        """Takes in a batch's run: merge-anti-joins what is there, settles what has become frequent, adds the rest."""
+        total = F.col("n_docs")
+        new = run.join(self.frequent(), HASH, "left_anti") if self.settled else run
+        for level, old in self.levels.items():
+            new = new.join(old.withColumnRenamed("n_docs", f"n_{level}"), HASH, "left")
+            total = total + F.coalesce(f"n_{level}", F.lit(0))
+        counted = common.stored(new.select(*HASH, "n_docs", total.alias("total")), "lines-counted", self.spark)
+        self.settled.append(common.stored(counted.where(F.col("total") >= self.min_docs).select(*HASH), "lines-settled", self.spark))
+        rest = counted.where(F.col("total") < self.min_docs).select(*HASH, "n_docs")
+        self.put(0, common.stored(rest.sortWithinPartitions(*HASH), "lines-0", self.spark))
+        common.forget(self.spark, counted)
 
     def put(self, level: int, run: DataFrame) -> None:
         if level not in self.levels:
             self.levels[level] = run
             return
         other = self.levels.pop(level)
-        both = run.unionByName(other).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"))
+        both = run.unionByName(other).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs")).join(self.frequent(), HASH, "left_anti")
         merged = common.stored(both.sortWithinPartitions(*HASH), f"lines-{level + 1}", self.spark)
         common.forget(self.spark, run, other)
         self.put(level + 1, merged)
 
-    def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """Hashes in at least min_docs documents over all levels."""
-        runs = list(self.levels.values())
-        if len(runs) == 1:
-            return runs[0].where(F.col("n_docs") >= min_docs).select(*HASH)
-        both = runs[0]
-        for r in runs[1:]:
-            both = both.unionByName(r)
-        return both.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") >= min_docs).select(*HASH)
+    def frequent(self) -> DataFrame:
+        """Hashes in at least min_docs documents of all batches so far."""
+        return reduce(DataFrame.unionByName, self.settled)
 
 
-def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(n))
-    return [docs.where(part == i) for i in range(n)] if n > 1 else [docs]
-
-
-def build(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> LineIndex:
-    index = LineIndex(docs.sparkSession, min_chars)
-    for batch in batches_of(docs.select("doc_id", "text"), batches):
-        index.add(batch)
+def build(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+    """An index of docs, dealt into batches by a hash of the id; one pass over the texts counts the lines of all batches."""
+    index = LineIndex(docs.sparkSession, min_chars, min_docs)
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"), "text")
+    runs = common.stored(index.run_of(rows, "batch"), "lines-runs", docs.sparkSession)
+    for i in range(batches):
+        index.add_run(runs.where(F.col("batch") == i).drop("batch"))
+    common.forget(docs.sparkSession, runs)
     return index
 
 
-def dedup_lines(docs: DataFrame, index: LineIndex, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     """docs with the lines kept as text, and lines_dropped beside them (any column of that name is replaced)."""
     spark = docs.sparkSession
     row = F.struct(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
-    common_lines = common.stored(index.frequent(min_docs), "lines-frequent", spark)
+    common_lines = index.frequent()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(F.xxhash64(row).alias("__a"), F.hash(row).alias("__b"), F.posexplode(F.split(lower_az(text), "\n")).alias("pos", "line"))
     lines = lines.withColumn("key", F.trim("line", F.lit(common.BLANK)))
