@@ -324,6 +324,11 @@ def test_op8_equals_brute_force(spark, docs, empty):
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
         want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), seeds(fold(t)), seeds(fold(edited)), float(fold(t) == fold(edited)), float(fold(t) == fold(nxt))))
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[fold(t)] = min(i, least.get(fold(t), i))
+    want = [(*w, least.get(fold(t), w[0])) for w, (_, t) in zip(want, rows)]  # and the group
     path = common.fresh_path(spark, "op8")
     docs.write.parquet(f"{path}/documents.parquet")
     got = [tuple(r) for r in op8_fingerprints.query(spark, path).collect()]
@@ -415,3 +420,27 @@ def test_op4_batches_are_scanned_against_the_levels(spark):
     assert sorted(index.levels) == [0, 2] and index.newest is not None and len(index.members) == 6
     got = by_id(op4_suffix_dedup.remove_repeats(spark.createDataFrame(seen, "doc_id long, text string"), batches=6))
     assert [(got[i]["n_bytes"], got[i]["n_removed"], len(got[i]["spans"]), got[i]["kept_sha256"]) for i in range(6)] == brute4(texts, 400)
+
+
+def test_op8_collisions_split_and_heavy_groups(spark, monkeypatch):
+    """With a digest of one value for all texts, groups are still those of equal forms; and with any number of heavy groups."""
+    texts = ["a b", "A  b", "c", "c", "d", None, "", "e"]
+    d = spark.createDataFrame([*enumerate(texts), (None, "c")], "doc_id long, text string")
+    want = {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5, 7: 7, None: 2}
+    for heavy in (1, 4, 1000):
+        monkeypatch.setattr(op8_fingerprints, "HEAVY", heavy)
+        assert {r["doc_id"]: r["group_id"] for r in op8_fingerprints.exact_groups(d).collect()} == want
+    monkeypatch.setattr(op8_fingerprints, "digest", lambda canon: F.concat(F.lit("same"), F.substring(canon, 1, 0)))
+    assert {r["doc_id"]: r["group_id"] for r in op8_fingerprints.exact_groups(d).collect()} == want
+
+
+def test_op9_batches_meet_the_runs(spark):
+    """A line settles with the batch that brings it to min_docs documents, is then counted no more, and goes from the runs."""
+    index = op9_line_dedup.LineIndex(spark, min_docs=4)
+    batch = lambda ids, line: spark.createDataFrame([(i, f"{line}\nown {i}") for i in ids], "doc_id long, text string")
+    settled = []
+    for ids, line in (([1, 2, 3], "one"), ([4], "one"), ([5, 6], "one"), ([7, 8], "two"), ([9, 10], "two")):
+        index.add(batch(ids, line))
+        settled.append(index.frequent().count())
+    assert settled == [0, 1, 1, 1, 2] and sorted(index.levels) == [0, 2]
+    assert index.levels[2].count() == 8 + 1 and index.levels[0].count() == 2  # own lines, and "two" until the next compaction
