@@ -8,7 +8,7 @@ of their id): a bound that doesn't grow with the data. The score is linear in th
 bucket folds into one number; executors keep the sum for each word and read every whole text once, without a shuffle.
 
 Null and empty texts have no feature and get the class prior's score. Labels with a null id or quality, and labels
-of unknown documents, are left out; of repeated labels of one id the largest counts. Without any usable label all scores
+of unknown documents, are left out; of repeated labels of one id the largest counts, of its texts the smallest. Without any usable label all scores
 are 0.5. A null id counts as not held out.
 """
 
@@ -72,13 +72,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Embeddings and softmax weights by stochastic gradient descent over small batches of documents."""
-    if not texts:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """Embeddings and softmax weights by stochastic gradient descent over small batches of documents (their buckets and counts)."""
+    if not bags:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    rng, known = np.random.default_rng(seed), {}
-    bags = [bag(t, known) for t in texts]
-    known.clear()
+    rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), np.float32)
@@ -119,12 +117,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, target:
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
+    common.small_batches(docs.sparkSession)
+
+    def bags(batches):
+        known: dict = {}
+        for b in batches:
+            found = [bag(t, known) for t in b.column(1).to_pylist()]
+            if len(known) > MAX_CACHE:
+                known.clear()
+            ids, counts = ([x[k].astype(np.int32) for x in found] for k in (0, 1))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.empty(0, np.int32))) for x in (ids, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], names=["doc_id", "label", "ids", "counts"])
+
     # at most max_train rows of two numbers: bounded, so broadcasting them is safe
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id").to_pydict()
-    seen: dict = {}
-    for i, t, c in zip(rows["doc_id"], rows["text"], rows["label"]):
-        seen.setdefault(i, (t, int(c)))  # repeated documents teach once
-    return train([t for t, _ in seen.values()], [c for _, c in seen.values()])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("doc_id", "x.text", F.col("x.label").cast("int").alias("label"))
+    # the driver gets at most max_train rows of at most BUCKETS numbers, however long the texts are and however often they repeat
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(bags, f"doc_id {kind}, label int, ids array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    lists = [[x.values.to_numpy() for x in rows.column(c)] for c in ("ids", "counts")]
+    return train(list(zip(*lists)), rows.column("label").to_pylist())
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
