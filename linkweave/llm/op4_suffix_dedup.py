@@ -36,6 +36,8 @@ from . import common
 
 LENGTH, K, HEAD, BATCHES = 400, 200, 8, 4
 GROUP = 256
+#: Anchors up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 BLOCK = 1 << 20
 POSITION = np.uint64((1 << 21) - 1)
 _rng = np.random.default_rng(4)
@@ -141,6 +143,11 @@ def entries(docs: DataFrame, length: int, k: int) -> DataFrame:
     return keyed(docs).select("ra", "rb", "text").mapInArrow(run, ENTRY)
 
 
+def place() -> list[Column]:
+    """The place of any one of equal segments: all four from one row, as each aggregate takes the first row it meets."""
+    return [F.first(c).alias(c) for c in ("ra", "rb", "first", "last")]
+
+
 class SuffixIndex:
     """The family: at most one array on each level, stored in the shared folder, and the matches that the batches' scans found.
 
@@ -156,8 +163,7 @@ class SuffixIndex:
 
     @staticmethod
     def merged(rows: DataFrame, *more: Column) -> DataFrame:
-        place = F.min(F.struct("ra", "rb", "first", "last")).alias("p")
-        return rows.groupBy("head", "kh", "sh").agg(F.sum("n").alias("n"), place, *more).select("head", "kh", "sh", "n", "p.*", *(c for c in rows.columns if c == "new"))
+        return rows.groupBy("head", "kh", "sh").agg(F.sum("n").alias("n"), *place(), *more)
 
     def arranged(self, rows: DataFrame, level: int) -> DataFrame:
         """One array of the rows, in suffix order inside each partition."""
@@ -187,27 +193,35 @@ class SuffixIndex:
     def scan(self, array: DataFrame) -> DataFrame:
         """The entries of a new array and of the levels, merged by suffix, that take part in a match with a new one.
 
-        whole: the segment occurs twice, in the batch or in the batch and the levels; else it shares its anchor with a different
+        whole: the segment occurs twice, in the batch or in the batch and the levels; shared: it has the anchor of a different
         segment. Only a match of at least the anchor's K bytes that involves the batch comes out: the levels' own matches were found before.
         """
+        spark, old = self.spark, list(self.levels.values())
         rows = array.withColumn("new", F.lit(True))
-        if self.levels:
-            rows = union([rows, *(x.withColumn("new", F.lit(False)) for x in self.levels.values())])
-            rows = self.merged(rows, F.max("new").alias("new"))
-        near = rows.groupBy("head", "kh").agg(F.count("*").alias("size"), F.max("new").alias("fresh")).where("size > 1 AND fresh").select("head", "kh", "size")
-        whole = (F.col("n") > 1) & F.col("new")
-        found = rows.join(near, ["head", "kh"], "left").where(whole | F.col("size").isNotNull())
-        return found.select("kh", "sh", "ra", "rb", "first", "last", (F.col("n") > 1).alias("whole"), F.col("size").isNotNull().alias("shared"))
+        if old:
+            rows = self.merged(union([rows, *(x.withColumn("new", F.lit(False)) for x in old)]), F.max("new").alias("new"))
+        # one shuffle of the entries gives both the repeated segments and the anchors of several segments
+        whole = rows.where("n > 1 AND new").select("kh", "sh", "ra", "rb", "first", "last", F.lit(False).alias("shared"))
+        anchors = rows.groupBy("head", "kh").agg(F.count("*").alias("size"), F.max("new").alias("new")).where("size > 1 AND new")
+        none = F.lit(None).cast("long")
+        anchors = anchors.select("kh", none.alias("sh"), none.alias("ra"), none.cast("int").alias("rb"), none.alias("first"), none.alias("last"), F.lit(True).alias("shared"))
+        both = common.stored(whole.unionByName(anchors), "suffix-scan", spark)
+        named = both.where("shared").select("kh")
+        if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            named = F.broadcast(named)
+        asked = union([array, *old]).join(named, "kh", "left_semi").select("kh", "sh", "ra", "rb", "first", "last", F.lit(False).alias("whole"), F.lit(True).alias("shared"))
+        return both.where("NOT shared").withColumn("whole", F.lit(True)).unionByName(asked)
 
     def repeated(self, docs: DataFrame) -> DataFrame:
         """kh, sh, lo, hi: the windows lo to hi of a segment (counted from its first) that occur elsewhere, from the matches of all batches."""
         spark, length = self.spark, self.length
-        place = F.min(F.struct("ra", "rb", "first", "last")).alias("p")
-        matches = union(self.matches).groupBy("kh", "sh").agg(F.max("whole").alias("whole"), F.max("shared").alias("shared"), place).select("kh", "sh", "whole", "shared", "p.*")
+        matches = union(self.matches).groupBy("kh", "sh").agg(F.max("whole").alias("whole"), F.max("shared").alias("shared"), *place())
         matches = common.stored(matches, "suffix-all-matches", spark)
         whole = matches.where("whole").select("kh", "sh", F.lit(0).cast("long").alias("lo"), (F.col("last") - F.col("first")).alias("hi"))
         shared = matches.where("shared")
-        asked = common.stored(shared.join(shared.groupBy("kh").agg(F.count("*").alias("size")), "kh"), "suffix-asked", spark)
+        # stored, so that the join is split where an anchor has very many segments
+        sizes = common.stored(shared.groupBy("kh").agg(F.count("*").alias("size")), "suffix-sizes", spark)
+        asked = common.stored(shared.join(sizes, "kh"), "suffix-asked", spark)
         texts = keyed(docs).select("ra", "rb", "text")
         one = F.struct("kh", "sh", "whole", "first", "last", "size")
         by_doc = asked.groupBy("ra", "rb").agg(F.collect_list(one).alias("asked"))
@@ -257,7 +271,7 @@ class SuffixIndex:
         out = common.stored(whole.unionByName(spans), "suffix-spans", spark)
         if cuts.where(F.col("size") > GROUP).limit(1).count():
             out = out.unionByName(common.stored(hits, "suffix-hits", spark))
-        common.forget(spark, matches, asked, cuts)
+        common.forget(spark, matches, sizes, asked, cuts)
         return out
 
     def close(self) -> None:
