@@ -10,55 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ModelParams, StoreError
-from ..storage import numbered, shared_dir, stored
+from ..storage import Versions, forget, numbered, shared_dir, stored
 
 MEMBERS = "entity_id long, record_id long, record_key string, score double, method string, source string"
 EVENTS = "event_type string, entity_id long, n_records long, step long"
 
 
 class EntityStore:
-    """Members and events as Parquet versions under a folder; a version is written whole, then named current."""
+    """Members and events under a folder, of which one state is current: both change at once, and a store on an existing folder goes on from there."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/entities-{uuid.uuid4().hex}"
-        self.version = {"members": None, "events": None}
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        v = self.version[name]
-        return self.spark.read.schema(schema).parquet(v) if v else self.spark.createDataFrame([], schema)
-
-    def _swap(self, name: str, df: DataFrame) -> None:
-        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.version[name] = path
+        self.versions = Versions(spark, self.path, {"members": MEMBERS, "events": EVENTS})
 
     def members(self) -> DataFrame:
-        return self._read("members", MEMBERS)
+        return self.versions.table("members")
 
     def events(self) -> DataFrame:
-        return self._read("events", EVENTS)
+        return self.versions.table("events")
 
     def upsert(self, members: DataFrame) -> DataFrame:
         """Adds clusters (entity, record_id, record_key, score, method, source) and returns entity, entity_id, created.
 
         A cluster joins the entity of its first stored record (the smallest record_id); without one it becomes a new entity, numbered on
-        in the order of the clusters. Records that are stored already stay where they are; entities never merge.
+        in the order of the clusters. Records that are stored already stay where they are; entities never merge. Only what is new is written.
         """
-        members, now = stored(members, "upsert"), self.members()
+        state = self.versions.state()
+        top, step = state.get("top", 0), state.get("step", 0) + 1
+        members, now = stored(members, "upsert"), self.versions.table("members", state)
         known = members.join(now.select("record_id", "entity_id"), "record_id")
         joined = known.groupBy("entity").agg(F.min(F.struct("record_id", "entity_id"))["entity_id"].alias("entity_id"))
         fresh = members.select("entity").distinct().join(joined, "entity", "left_anti")
-        top = now.agg(F.coalesce(F.max("entity_id"), F.lit(0))).first()[0]
         fresh = numbered(fresh, "entity", "entity_id", top)
-        ids = stored(joined.withColumn("created", F.lit(False)).unionByName(fresh.withColumn("created", F.lit(True))), "upsert")
+        ids = stored(joined.withColumn("created", F.lit(False)).unionByName(fresh.withColumn("created", F.lit(True))), "upsert-ids")
         added = members.join(ids, "entity").join(now.select("record_id"), "record_id", "left_anti")
-        new = stored(added.select("entity_id", "record_id", "record_key", "score", "method", "source", "created"), "upsert")
-        step = (self.events().agg(F.coalesce(F.max("step"), F.lit(0))).first()[0]) + 1
+        new = stored(added.select("entity_id", "record_id", "record_key", "score", "method", "source", "created"), "upsert-new")
         events = new.groupBy("entity_id", "created").agg(F.count("*").alias("n_records")).select(F.when(F.col("created"), "EntityCreated").otherwise("RecordsAdded").alias("event_type"), "entity_id", "n_records", F.lit(step).cast("long").alias("step"))
-        whole = now.unionByName(new.drop("created"))
-        log = self.events().unionByName(events)
-        self._swap("events", log)
-        self._swap("members", whole)
+        top = max(top, ids.agg(F.max("entity_id")).first()[0] or 0)
+        self.versions.publish({"members": new.drop("created"), "events": events}, top=top, step=step)
+        forget(members, new)
         return ids
 
     def entity(self, entity_id: int) -> DataFrame:

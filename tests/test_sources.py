@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from linkweave import storage
 from linkweave.model import ConfigError, LinkMode, Schema
 from linkweave.operators import judge as J
 from linkweave.plans.pipeline import Pipeline
@@ -94,3 +96,55 @@ def test_pipeline_with_judge_promotes(spark):
     run = Pipeline(Schema.of(n="Categorical", d="Date"), EntityStore(spark), CompositeBlocker(DateFragment("d", 10)), judge=J.dummy_judge).run_batch(d)
     r = run.report
     assert r.candidate_pairs == 3 and r.auto_matched + r.borderline + r.auto_rejected == 3 and r.borderline == 0
+
+
+def test_store_reopens_and_publishes_at_once(spark, monkeypatch):
+    """A store on an existing folder has what was stored; members and events change together or not at all."""
+    kind = "entity long, record_id long, record_key string, score double, method string, source string"
+    df = lambda *rs: spark.createDataFrame([(e, r, str(r), 0.9, "AutoMatch", None) for e, r in rs], kind)
+    store = EntityStore(spark)
+    store.upsert(df((1, 1), (1, 2)))
+    again = EntityStore(spark, store.path)
+    assert again.members().count() == 2 and again.events().count() == 1
+    again.upsert(df((2, 2), (2, 3), (7, 7), (7, 8)))
+    want = {1: 1, 2: 1, 3: 1, 7: 2, 8: 2}
+    assert {r["record_id"]: r["entity_id"] for r in EntityStore(spark, store.path).members().collect()} == want
+    assert store.members().count() == 5 and store.events().count() == 3
+
+    def fails(name, df):
+        if name == "events":
+            raise RuntimeError("lost")
+        return write(name, df)
+
+    write = again.versions.write
+    monkeypatch.setattr(again.versions, "write", fails)
+    with pytest.raises(RuntimeError):
+        again.upsert(df((9, 9), (9, 10)))
+    assert store.members().count() == 5 and store.events().count() == 3
+
+
+def test_store_compacts_and_forgets_old_parts(spark):
+    kind = "entity long, record_id long, record_key string, score double, method string, source string"
+    store = EntityStore(spark)
+    store.versions.COMPACT = 2
+    for k in range(5):
+        store.upsert(spark.createDataFrame([(k, 10 * k + j, "x", 0.9, "AutoMatch", None) for j in range(2)], kind))
+    state = store.versions.state()
+    assert store.members().count() == 10 and store.events().count() == 5 and all(len(p) <= 2 for p in state["parts"].values())
+    folder = store.path.removeprefix("file://")
+    assert len([f for f in os.listdir(folder) if f.startswith("state-")]) == 2 and len(os.listdir(f"{folder}/members")) <= 5
+    assert {r["entity_id"] for r in store.members().collect()} == {1, 2, 3, 4, 5}
+
+
+def test_shared_dir_on_a_cluster(monkeypatch):
+    """Without a folder that all executors share, nothing may be written on a cluster."""
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    for master, ok in (("local[4]", True), ("local", True), ("yarn", False), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)):
+        s = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if ok:
+            assert storage.shared_dir(s).startswith("file://")
+        else:
+            with pytest.raises(RuntimeError):
+                storage.shared_dir(s)
