@@ -1,12 +1,14 @@
 """Similarities of two values, from 0 to 1, as Column functions of two strings.
 
-All but Jaro-Winkler and phonetic equality are built-in expressions. Those two run in Arrow batches over a batch's distinct pairs.
+All but Jaro-Winkler and phonetic equality are built-in expressions. Those two run in Arrow batches: Jaro-Winkler over all pairs of a
+batch at once, phonetic equality over its distinct pairs. prepared() marks functions that work on something derived from each value alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +51,60 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+#: Pairs are compared together by the length of the longer text, up to these (as many bits as a number has); longer ones one by one.
+WIDTHS = {8: np.uint8, 16: np.uint16, 32: np.uint32, 64: np.uint64}
+BELOW = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
+
+
+def _jaro_winkler_wide(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """jaro_winkler_of for rows of code points, zero beyond the texts' lengths (1 at least).
+
+    All rows take each step at once; the places of b that are used, in reach or equal to a character of a are the bits of one number.
+    """
+    n, width = a.shape
+    kind = WIDTHS[width]
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    used = np.zeros(n, kind)
+    used_a = np.zeros((n, width), bool)
+    for i in range(int(la.max(initial=0))):
+        equal = np.packbits(b == a[:, i : i + 1], axis=1, bitorder="little").view(kind)[:, 0]
+        window = BELOW[np.minimum(lb, i + reach + 1)] & ~BELOW[np.minimum(np.maximum(0, i - reach), 64)]
+        open_ = equal & window.astype(kind) & ~used & (np.iinfo(kind).max * (i < la).astype(kind))
+        first = open_ & (~open_ + kind(1))
+        used |= first
+        used_a[:, i] = first != 0
+    used_b = np.unpackbits(used.view(np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(bool)
+    m = used_a.sum(1)
+    # row by row, the matched characters of both sides in order
+    differ = a[used_a] != b[used_b]
+    swaps = np.bincount(np.repeat(np.arange(n), m)[differ], minlength=n) // 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / la + m / lb + (m - swaps) / some) / 3, 0.0)
+    same = (a[:, :4] == b[:, :4]) & (np.arange(4) < np.minimum(la, lb)[:, None])
+    prefix = np.cumprod(same, axis=1).sum(1)
+    return np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
+
+
+def jaro_winkler_many(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    """jaro_winkler_of for many pairs; nan where a side is missing."""
+    out = np.full(len(a), np.nan)
+    la = np.fromiter((-1 if x is None else len(x) for x in a), np.int64, len(a))
+    lb = np.fromiter((-1 if x is None else len(x) for x in b), np.int64, len(b))
+    there, longest = (la >= 0) & (lb >= 0), np.maximum(la, lb)
+    out[there] = 0.0
+    out[there & (longest == 0)] = 1.0
+    low = 0
+    for width in WIDTHS:
+        rows = np.flatnonzero(there & (la > 0) & (lb > 0) & (longest > low) & (longest <= width))
+        low = width
+        if len(rows):
+            points = [np.array([side[k] for k in rows], f"U{width}").view(np.uint32).reshape(len(rows), width) for side in (a, b)]
+            out[rows] = np.where((points[0] == points[1]).all(1) & (la[rows] == lb[rows]), 1.0, _jaro_winkler_wide(*points, la[rows], lb[rows]))
+    for k in np.flatnonzero(there & (longest > low)):
+        out[k] = jaro_winkler_of(a[k], b[k])
+    return out
+
+
 def by_distinct(f: Callable[[str, str], float]):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict = {}
@@ -62,8 +118,12 @@ def by_distinct(f: Callable[[str, str], float]):
     return run
 
 
+def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(jaro_winkler_many(a.tolist(), b.tolist()))
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
-    return F.pandas_udf(by_distinct(jaro_winkler_of), "double")(a, b)
+    return F.pandas_udf(_jaro_winkler, "double")(a, b)  # nan arrives as null
 
 
 def _same_code(a: str, b: str) -> float:
@@ -75,6 +135,16 @@ def phonetic_equal(a: Column, b: Column) -> Column:
     return F.pandas_udf(by_distinct(_same_code), "double")(N.to_ascii_upper(a), N.to_ascii_upper(b))
 
 
+def prepared(prepare: Callable[[Column], Column], compare: Similarity) -> Similarity:
+    """compare(prepare(a), prepare(b)); a comparator that sees the two functions prepares each record before it meets others."""
+
+    def f(a: Column, b: Column) -> Column:
+        return F.transform(F.array(F.struct(prepare(a).alias("a"), prepare(b).alias("b"))), lambda p: compare(p["a"], p["b"]))[0]
+
+    f.prepare, f.compare = prepare, compare
+    return f
+
+
 def tokens(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(x, r"(?U)\s+"), lambda t: t != ""))
 
@@ -86,8 +156,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / union)
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    return jaccard(tokens(a), tokens(b))
+token_overlap = prepared(tokens, jaccard)
 
 
 def levenshtein(most: int) -> Similarity:
@@ -105,8 +174,7 @@ def alias_overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(each), F.lit(0.0))
 
 
-def address_overlap(a: Column, b: Column) -> Column:
-    return jaccard(F.array_distinct(N.address_tokens(a)), F.array_distinct(N.address_tokens(b)))
+address_overlap = prepared(lambda x: F.array_distinct(N.address_tokens(x)), jaccard)
 
 
 def street_number(a: Column, b: Column) -> Column:
@@ -136,15 +204,24 @@ def day_number(p: Column) -> Column:
     return p["d"] + whole((153 * m + 2) / 5) + 365 * y + whole(y / 4) - whole(y / 100) + whole(y / 400) - 32045
 
 
-def date_likeness(a: Column, b: Column) -> Column:
-    x, y = date_parts(a), date_parts(b)
-    days = F.abs(day_number(x) - day_number(y))
+def date_prepared(x: Column) -> Column:
+    """struct(text, y, m, day): what comparing a date takes, so that each text is parsed once however many pairs it is in."""
+    # bound by transform, so that the parts are computed once
+    parts = F.transform(F.array(date_parts(x)), lambda p: F.struct(p["y"].alias("y"), p["m"].alias("m"), day_number(p).alias("day")))[0]
+    return F.transform(F.array(parts), lambda p: F.struct(x.alias("text"), p["y"].alias("y"), p["m"].alias("m"), p["day"].alias("day")))[0]
+
+
+def date_compared(x: Column, y: Column) -> Column:
+    days = F.abs(x["day"] - y["day"])
     return (
-        F.when(a == b, 1.0).when(x.isNull() | y.isNull(), 0.0).when(days == 0, 1.0).when(days <= 1, 0.9)
+        F.when(x["text"] == y["text"], 1.0).when(x["day"].isNull() | y["day"].isNull(), 0.0).when(days == 0, 1.0).when(days <= 1, 0.9)
         .when((x["y"] == y["y"]) & (x["m"] == y["m"]), 0.75).when(x["y"] == y["y"], 0.5).when(F.abs(x["y"] - y["y"]) <= 1, 0.3).otherwise(0.0)
     )
 
 
+date_likeness = prepared(date_prepared, date_compared)
+
+
 def exact(a: Column, b: Column) -> Column:
     return (a == b).cast("double")
 

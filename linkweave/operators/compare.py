@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +63,13 @@ class FieldComparator:
     def level_columns(self) -> list[str]:
         return [f"lvl_{i}" for i in range(len(self.fields))]
 
+    def prepared(self, i: int) -> dict[str, tuple[Similarity, Callable[[Column], Column]]]:
+        """The functions of field i that work on a prepared value, with their preparation, by a name of their own."""
+        return {f"__p{i}_{k}": (f, f.prepare) for k, f in enumerate(self.fns[i]) if hasattr(f, "prepare")}
+
     def similarity(self, i: int, a: Column, b: Column) -> Column:
-        each = [f(a, b) for f in self.fns[i]]
+        ready = {id(f): name for name, (f, _) in self.prepared(i).items()}
+        each = [f.compare(F.col(f"__a{ready[id(f)]}"), F.col(f"__b{ready[id(f)]}")) if id(f) in ready else f(a, b) for f in self.fns[i]]
         return each[0] if len(each) == 1 else F.greatest(*each)
 
     def _level(self, i: int) -> Column:
@@ -76,15 +83,25 @@ class FieldComparator:
         """pairs (a, b) with a level for each field. Records join twice by id; only the compared fields travel."""
         kinds = dict(records.dtypes)
         text = lambda f: to_text(F.col(f), kinds[f]) if f in kinds else F.lit(None).cast("string")
-        names_a = [f"__a{i}" for i in range(len(self.fields))]
-        names_b = [f"__b{i}" for i in range(len(self.fields))]
         side = F.col(SOURCE) if SOURCE in kinds else F.lit(None).cast("string")
         every = sorted({f for a, b, *_ in self.fields for f in (a, b)})
-        packed = F.struct(side.alias("__source"), *(text(f).alias(f) for f in every))
+        packed = [side.alias("__source"), *(text(f).alias(f) for f in every)]
+        # what depends on one record is computed before records meet
+        made = {}
+        for i, (a, b, *_) in enumerate(self.fields):
+            for name, (_, prepare) in self.prepared(i).items():
+                made[f"__a{name}"], made[f"__b{name}"] = prepare(text(a)), prepare(text(b))
+                if a == b:
+                    made[f"__b{name}"] = None
+        packed = F.struct(*packed, *(x.alias(n) for n, x in made.items() if x is not None))
         r = records.select(F.col(ID), packed.alias("r"))
         d = pairs.join(r.select(F.col(ID).alias("a"), F.col("r").alias("x")), "a").join(r.select(F.col(ID).alias("b"), F.col("r").alias("y")), "b")
         if self.mappings and self.source_a is not None:  # the mapped source comes first, whatever the ids' order
             turn = F.col("y.__source").eqNullSafe(self.source_a) & ~F.col("x.__source").eqNullSafe(self.source_a)
             d = d.withColumns({"x": F.when(turn, F.col("y")).otherwise(F.col("x")), "y": F.when(turn, F.col("x")).otherwise(F.col("y"))})
-        d = d.select("a", "b", *(F.col(f"x.{a}").alias(n) for (a, *_), n in zip(self.fields, names_a)), *(F.col(f"y.{b}").alias(n) for (_, b, *_), n in zip(self.fields, names_b)))
+        sides = [F.col(f"x.{a}").alias(f"__a{i}") for i, (a, *_) in enumerate(self.fields)] + [F.col(f"y.{b}").alias(f"__b{i}") for i, (_, b, *_) in enumerate(self.fields)]
+        for n, x in made.items():
+            # equal fields of both sides share one preparation
+            sides.append(F.col(f"{'x' if n.startswith('__a') else 'y'}.{n if x is not None else n.replace('__b', '__a', 1)}").alias(n))
+        d = d.select("a", "b", *sides)
         return d.select("a", "b", *(self._level(i) for i in range(len(self.fields))))

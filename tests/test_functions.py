@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -62,3 +65,21 @@ def test_similarities(spark):
     assert values(spark, S.street_number, [("12 x", "12 y"), ("12", "13"), ("12", "45"), ("x", "1")], 2) == [1, 0.8, 0, 0]
     assert values(spark, S.levenshtein(2), [("ab", "ab"), ("ab", "ac"), ("ab", "xyz")], 2) == [1, 0.5, 0]
     assert values(spark, S.suffix(3), [("x123", "y123"), ("12", "12")], 2) == [1, 0]
+
+
+def test_jaro_winkler_of_many_pairs():
+    """The kernel over whole batches equals the definition pair by pair, at all widths."""
+    rng = random.Random(5)
+    a, b = [None, "", "x", "", "martha"], ["x", "", "", "y", "marhta"]
+    for _ in range(3000):
+        x = [rng.choice("abcdé") for _ in range(rng.randint(0, rng.choice((4, 9, 20, 40, 64, 80))))]
+        y = [c for c in x if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 3)):
+            if len(y) > 1:
+                i = rng.randrange(len(y) - 1)
+                y[i], y[i + 1] = y[i + 1], y[i]
+        a.append("".join(x))
+        b.append("".join(y))
+    got = S.jaro_winkler_many(a, b)
+    assert np.isnan(got[0]) and all(g == S.jaro_winkler_of(x, y) for x, y, g in zip(a[1:], b[1:], got[1:]))
+    assert len(S.jaro_winkler_many([], [])) == 0
