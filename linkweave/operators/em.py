@@ -16,7 +16,9 @@ from ..model import AUTO_MATCH, AUTO_REJECT, BORDERLINE, NULL, EmptySchema, Mode
 
 # Start and default probabilities of the levels none, partial, close, exact.
 M_PRIOR, U_PRIOR, M_DEFAULT = [0.02, 0.06, 0.12, 0.80], [0.70, 0.15, 0.10, 0.05], [0.01, 0.04, 0.10, 0.85]
-FLOOR = 1e-9
+FLOOR, BELOW = 1e-9, 1 - 1e-12
+# Pairs added to each level, and the thresholds that go with them.
+SMOOTHING, SMOOTHED_THRESHOLDS = 1e-3, (0.9, 0.1)
 #: Patterns up to this number go to the driver; beyond it the iterations run as Spark aggregations.
 MAX_PATTERNS = 500_000
 
@@ -52,11 +54,16 @@ def probabilities(x: np.ndarray, p: ModelParams) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def m_step(x: np.ndarray, n: np.ndarray, prob: np.ndarray, old: ModelParams) -> ModelParams:
+def m_step(x: np.ndarray, n: np.ndarray, prob: np.ndarray, old: ModelParams, smoothing: float = 0.0) -> ModelParams:
+    """New parameters from the patterns' match probabilities. smoothing: pairs added to each level's count, over all pairs of its class."""
+
     def shares(weight: np.ndarray) -> list[list[float]]:
         out = []
         for f in range(x.shape[1]):
             c = np.array([weight[x[:, f] == v].sum() for v in range(4)])
+            if smoothing:
+                out.append(((c + smoothing) / max(weight.sum() + 4 * smoothing, FLOOR)).tolist())
+                continue
             total = c.sum()
             c = np.maximum(c / total if total > 0 else np.full(4, 0.25), FLOOR)
             out.append((c / c.sum()).tolist())
@@ -80,12 +87,16 @@ def calibrated(prob: np.ndarray, n: np.ndarray) -> tuple[float, float]:
         order = np.argsort(p, kind="stable")
         return float(p[order][np.searchsorted(np.cumsum(c[order]), math.floor(q * c.sum()), side="right")])
 
+    # a little less than the scores they come from, so that another way of computing the same score can't fall below
     high, low = ranked(prob >= 0.7, 0.05), ranked(prob <= 0.3, 0.95)
-    return (0.9 if high is None else max(high, 0.85)), (0.1 if low is None else min(low, 0.15))
+    return (0.9 if high is None else max(high * BELOW, 0.85)), (0.1 if low is None else min(low * BELOW, 0.15))
+
 
+def run_em(x: np.ndarray, n: np.ndarray, start: ModelParams | None = None, max_iterations: int = 25, smoothing: float = 0.0) -> tuple[ModelParams, int]:
+    """Parameters from patterns and counts, and the number of iterations run.
 
-def run_em(x: np.ndarray, n: np.ndarray, start: ModelParams | None = None, max_iterations: int = 25) -> tuple[ModelParams, int]:
-    """Parameters from patterns and counts, and the number of iterations run."""
+    With smoothing (SMOOTHING is the usual amount) no level's probability vanishes, and the thresholds are the fixed ones instead of calibrated.
+    """
     if x.shape[1] == 0:
         raise EmptySchema("no fields to compare")
     if not len(x):
@@ -95,12 +106,12 @@ def run_em(x: np.ndarray, n: np.ndarray, start: ModelParams | None = None, max_i
         start = initial_params(x.shape[1], min(max(share, 0.001), 0.5))
     p, done = start, 0
     for _ in range(max_iterations):
-        new = m_step(x, n, probabilities(x, p), p)
+        new = m_step(x, n, probabilities(x, p), p, smoothing)
         done += 1
         moved, p = change(new, p), new
         if moved < 1e-6:
             break
-    p.upper_threshold, p.lower_threshold = calibrated(probabilities(x, p), n)
+    p.upper_threshold, p.lower_threshold = SMOOTHED_THRESHOLDS if smoothing else calibrated(probabilities(x, p), n)
     return p, done
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
+import tomllib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +36,26 @@ VALUE_RULES = [
     {"kind": "Categorical", "unique_max": 0.2},
 ]
 SAMPLE, TOP = 50, 10
+#: Environment variables that name rule files to be used where no rules are given.
+NAME_FILE, VALUE_FILE = "LINKWEAVE_NAME_RULES", "LINKWEAVE_VALUE_RULES"
+
+
+def rules_from(path: str) -> list[dict]:
+    """Rules of a TOML file: one [[rules]] table each, with the keys of NAME_RULES or VALUE_RULES."""
+    with open(path, "rb") as f:
+        rules = tomllib.load(f).get("rules", [])
+    for r in rules:
+        FieldKind(r["kind"])  # a ValueError for an unknown kind
+        re.compile(r.get("regex", ""))
+        if "regex" in r and "share" not in r:
+            raise ValueError(f"{path}: a rule with a regex needs a share")
+    return rules
+
+
+def rules_or(given: list[dict] | None, variable: str, default: list[dict]) -> list[dict]:
+    if given is not None:
+        return given
+    return rules_from(os.environ[variable]) if os.environ.get(variable) else default
 
 
 def kind_of_name(name: str, rules: list[dict] | None = None) -> FieldKind | None:
@@ -43,29 +66,27 @@ def kind_of_name(name: str, rules: list[dict] | None = None) -> FieldKind | None
     return None
 
 
+# The simpler rules for evaluation files, tried in this order.
+HARNESS_RULES = [
+    {"kind": "Categorical", "contains": ["handelsnaam", "rechtsvorm", "kvk"]},
+    {"kind": "Address", "contains": ["straat", "adres", "street", "address", "city", "place", "woon"]},
+    {"kind": "Name", "contains": ["naam", "name", "nomen", "alias"]},
+    {"kind": "Date", "contains": ["datum", "date", "dob", "birth"]},
+    {"kind": "Id", "contains": ["id", "nummer", "bsn", "number", "code"]},
+]
+
+
 def harness_kind(name: str) -> FieldKind:
-    """The simpler rule chain for evaluation files."""
-    n = name.lower()
-    has = lambda *xs: any(x in n for x in xs)
-    if has("handelsnaam", "rechtsvorm", "kvk"):
-        return FieldKind.CATEGORICAL
-    if has("straat", "adres", "street", "address", "city", "place", "woon"):
-        return FieldKind.ADDRESS
-    if has("naam", "name", "nomen", "alias"):
-        return FieldKind.NAME
-    if has("datum", "date", "dob", "birth"):
-        return FieldKind.DATE
-    if has("id", "nummer", "bsn", "number", "code"):
-        return FieldKind.ID
-    return FieldKind.CATEGORICAL
-
-
-def value_statistics(df: DataFrame, fields: list[str]) -> DataFrame:
-    """field, n, unique_rate, avg_len (bytes) and the share of values that each pattern matches, in one aggregation."""
+    """The kind of an evaluation file's column."""
+    return kind_of_name(name, HARNESS_RULES) or FieldKind.CATEGORICAL
+
+
+def value_statistics(df: DataFrame, fields: list[str], rules: list[dict] | None = None) -> DataFrame:
+    """field, n, unique_rate, avg_len (bytes) and the share of values that each rule's pattern matches, in one aggregation."""
     kinds = dict(df.dtypes)
     stack = F.inline(F.array(*(F.struct(F.lit(f).alias("field"), to_text(F.col(f), kinds[f]).alias("value")) for f in fields)))
     d = df.select(stack).where("value <> ''")
-    shares = [F.avg(F.col("value").rlike(r["regex"]).cast("double")).alias(f"share_{r['kind'].lower()}") for r in VALUE_RULES if "regex" in r]
+    shares = [F.avg(F.col("value").rlike(r["regex"]).cast("double")).alias(f"share_{r['kind'].lower()}") for r in (VALUE_RULES if rules is None else rules) if "regex" in r]
     return d.groupBy("field").agg(F.count("*").alias("n"), (F.count_distinct("value") / F.count("*")).alias("unique_rate"), F.avg(F.octet_length("value")).alias("avg_len"), *shares)
 
 
@@ -82,9 +103,14 @@ def kind_of_values(stats: dict | None, rules: list[dict] | None = None) -> Field
     return FieldKind.FREE_TEXT
 
 
-def infer_schema(df: DataFrame, overrides: dict[str, FieldKind | str] | None = None, name_rules: list[dict] | None = None, sample: int = SAMPLE) -> Schema:
-    """Overrides, then names, then up to `sample` values that aren't empty of each text field. Fields come by name."""
+def infer_schema(df: DataFrame, overrides: dict[str, FieldKind | str] | None = None, name_rules: list[dict] | None = None, sample: int = SAMPLE,
+                 value_rules: list[dict] | None = None) -> Schema:
+    """Overrides, then names, then up to `sample` values that aren't empty of each text field. Fields come by name.
+
+    Rules not given come from the files that LINKWEAVE_NAME_RULES and LINKWEAVE_VALUE_RULES name, else from the tables above.
+    """
     overrides = overrides or {}
+    name_rules, value_rules = rules_or(name_rules, NAME_FILE, NAME_RULES), rules_or(value_rules, VALUE_FILE, VALUE_RULES)
     fields = sorted(c for c in df.columns if c not in ("record_id", "record_key", "source"))
     if not fields:
         raise EmptySchema("no fields to infer")
@@ -92,8 +118,8 @@ def infer_schema(df: DataFrame, overrides: dict[str, FieldKind | str] | None = N
     types = dict(df.dtypes)
     for f in (f for f in fields if kinds[f] is None):
         values = df.where(F.col(f).cast("string") != "").select(f).limit(sample) if types[f] == "string" else df.select(f).limit(0)
-        rows = value_statistics(values, [f]).collect()
-        kinds[f] = kind_of_values(rows[0].asDict() if rows else None)
+        rows = value_statistics(values, [f], value_rules).collect()
+        kinds[f] = kind_of_values(rows[0].asDict() if rows else None, value_rules)
     return Schema(tuple(FieldDef(f, kinds[f]) for f in fields))
 
 

@@ -5,6 +5,7 @@ QUERIES and SQL are filled by `entry` below. Texts in {curly} form part of both
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import similarity as S
 from ..functions.phonetic import soundex
-from ..model import ClusterConfig, FieldKind, FieldMapping, NullPolicy, PipelineConfig, RateConfig, Schema
+from ..model import ClusterConfig, FieldKind, FieldMapping, ModelParams, NullPolicy, PipelineConfig, RateConfig, Schema
 from ..operators import blocking as B
 from ..operators import cluster as C
 from ..operators import em, inference, metrics
@@ -155,13 +156,17 @@ EVENTS = frame("events", "event_id AS record_id", "event_type", "date_format(ts,
 SLOT = "concat(event_type, ':', strftime(ts, '%Y-%m-%d'), ':', CAST((hour(ts) * 60 + minute(ts)) // 10 AS VARCHAR))"
 keyed("key_time_window", EVENTS, K.CameraTimeWindow("event_type", "at", 10), f"SELECT event_id AS record_id, 'cam_time_window:' || {SLOT} AS block_key FROM events")
 keyed("key_geo_grid", PARTS, K.GeoGrid("price", "size", 2.5), "SELECT p_partkey AS record_id, 'geo_grid:' || CAST(CAST(floor(p_retailprice / 2.5::DOUBLE) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(p_size / 2.5::DOUBLE) AS BIGINT) AS VARCHAR) AS block_key FROM part")
-keyed("key_phonetic_dob", people, K.PhoneticNameDob("last", "dob"), None)
-keyed("key_phonetic_initial_dob", people, K.PhoneticNameDobInitial("last", "first", "dob"), None)
-keyed("key_transliterated", people, K.TransliteratedPhonetic("last", "dob"), None)
-ALIASES = lambda spark, sf: people(spark, sf).withColumn("alias", F.concat_ws("|", "last", "first"))
-keyed("key_alias", ALIASES, K.AliasPhonetic("alias", "dob"), None)
-keyed("key_fuzzy_year", lambda spark, sf: people(spark, sf).withColumn("dob", F.concat(F.left("dob", F.lit(4)), F.lit("-01-01"))), K.FuzzyYear("last", "dob", 1), None)
 # Soundex of ASCII names spelled out for DuckDB: letters to digits, repeats and H, W folded, vowels out
+# Primary Double Metaphone codes of the surnames above (whole and without their last letter) and of the first names.
+CODES = {
+    "BAKKE": "PK", "BAKKER": "PKR", "BER": "PR", "BERG": "PRK", "BO": "P", "BOS": "PS", "BROUWE": "PR", "BROUWER": "PRR", "DEKKE": "TK", "DEKKER": "TKR", "DIJ": "TJ", "DIJK": "TK",
+    "DIJKSTR": "TKST", "DIJKSTRA": "TKST", "HENDRIK": "HNTR", "HENDRIKS": "HNTR", "JANSE": "JNS", "JANSEN": "JNSN", "KO": "K", "KOK": "KK", "MEIJE": "MJ", "MEIJER": "MJR", "MULDE": "MLT",
+    "MULDER": "MLTR", "PETER": "PTR", "PETERS": "PTRS", "SMI": "SM", "SMIT": "SMT", "VISSE": "FS", "VISSER": "FSR", "VO": "F", "VOS": "FS", "VRIE": "FR", "VRIES": "FRS",
+    "ANNA": "AN", "BRAM": "PRM", "DAAN": "TN", "ELISABETH": "ALSP", "FEMKE": "FMK", "JAN": "JN", "JOHANNA": "JHN", "KEES": "KS", "MARIA": "MR", "PIETER": "PTR", "SANNE": "SN", "SOPHIE": "SF",
+    "THOMAS": "TMS", "WILLEM": "ALM",
+}
+#: Of the surnames as a whole, where they have several words.
+WHOLE_CODES = {"VAN DEN BERG": "FNTN", "VAN DEN BER": "FNTN", "DE VRIES": "TFRS", "DE VRIE": "TFR", "VAN DIJK": "FNTK", "VAN DIJ": "FNTJ"}
 SURNAME = f"regexp_extract(regexp_replace({NORM.format(x='last')}, '{PREFIX}', ''), '(\\S+)\\s*$', 1)"
 DIGITS = "translate(n, 'BFPVCGJKQSXZDTLMNR', '111122222222334556')"
 
@@ -175,6 +180,27 @@ def _soundex_sql(n: str) -> str:
 
 keyed("key_soundex_year", people, K.PhoneticNameDob("last", "dob", "soundex"), f"WITH {PEOPLE_SQL}, s AS (SELECT record_id, dob, {SURNAME} AS n FROM people) SELECT record_id, 'phonetic_dob:' || {_soundex_sql('n')} || ':' || substr(dob, 1, 4) AS block_key FROM s WHERE n <> ''")
 
+
+
+def coded(n: str, codes: dict[str, str] = CODES) -> str:
+    """A SQL expression's code, by the tables above."""
+    return f"CASE {n} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.items()) + " END"
+
+
+CODED = f"{PEOPLE_SQL}, s AS (SELECT *, {coded(SURNAME)} AS code, {coded('upper(first)')} AS first_code FROM people)"
+PHONETIC = "SELECT record_id, source, 'phonetic_dob:' || code || ':' || substr(dob, 1, 4) AS block_key FROM s"
+LATIN = PHONETIC.replace("phonetic_dob", "transliterated_phonetic")
+INITIAL = "SELECT record_id, source, 'phonetic_initial_dob:' || code || ':' || upper(substr(first, 1, 1)) || ':' || substr(dob, 1, 4) AS block_key FROM s"
+ALIAS = f"SELECT record_id, source, 'phonetic_dob:' || unnest(list_distinct([code, first_code])) || ':' || substr(dob, 1, 4) AS block_key FROM s"
+FUZZY = "SELECT record_id, source, 'phonetic_dob:' || code || ':' || CAST(unnest(range(CAST(substr(dob, 1, 4) AS INT) - 1, CAST(substr(dob, 1, 4) AS INT) + 2)) AS VARCHAR) AS block_key FROM s"
+ADDRESSED = f"SELECT record_id, source, 'addr_initial:' || split_part({NORM.format(x='street')}, ' ', 1) || ':' || upper(substr(first, 1, 1)) AS block_key FROM people"
+keyed("key_phonetic_dob", people, K.PhoneticNameDob("last", "dob"), f"WITH {CODED} SELECT record_id, block_key FROM ({PHONETIC})")
+keyed("key_phonetic_initial_dob", people, K.PhoneticNameDobInitial("last", "first", "dob"), f"WITH {CODED} SELECT record_id, block_key FROM ({INITIAL})")
+keyed("key_transliterated", people, K.TransliteratedPhonetic("last", "dob"), f"WITH {CODED} SELECT record_id, block_key FROM ({LATIN})")
+ALIASES = lambda spark, sf: people(spark, sf).withColumn("alias", F.concat_ws("|", "last", "first"))
+keyed("key_alias", ALIASES, K.AliasPhonetic("alias", "dob"), f"WITH {CODED} SELECT record_id, block_key FROM ({ALIAS})")
+keyed("key_fuzzy_year", lambda spark, sf: people(spark, sf).withColumn("dob", F.concat(F.left("dob", F.lit(4)), F.lit("-01-01"))), K.FuzzyYear("last", "dob", 1), f"WITH {CODED} SELECT record_id, block_key FROM ({FUZZY})")
+
 # --- blocking
 
 BLOCK = K.CustomKey("block", lambda: F.concat_ws("|", "brand", "type"))
@@ -232,8 +258,10 @@ PASS_SQL = "u AS (SELECT event_id, ts, event_type, 'U' || CAST(user_id AS VARCHA
 entry("preset_anpr", f"WITH {PASS_SQL} SELECT 'plate_norm:' || p AS block_key, event_id AS record_id, CAST(NULL AS VARCHAR) AS source FROM u UNION ALL SELECT 'plate_ocr:' || unnest(list_distinct(list_append(list_transform(range(1, length(p) + 1), lambda i: substr(p, 1, i - 1) || substr(p, i + 1)), p))), event_id, NULL FROM u UNION ALL SELECT 'cam_time_window:' || {SLOT}, event_id, NULL FROM u")(
     lambda s, d: B.from_category("ANPRPassages", PASSAGES).index(EVENTS(s, d).withColumn("plate", F.concat(F.lit("U"), F.col("user_id").cast("string"))))
 )
-entry("preset_person_registry")(lambda s, d: B.from_category("PersonRegistry", PEOPLE).index(people(s, d)))
-entry("preset_wanted_persons")(lambda s, d: B.from_category("WantedPersons", Schema.of(last="Name", dob="Date", alias="Alias", phone="Id")).index(ALIASES(s, d)))
+REGISTRY = f"{INITIAL} UNION ALL SELECT record_id, source, 'date_fragment:' || substr(dob, 1, 7) FROM people UNION ALL {ADDRESSED} UNION ALL SELECT record_id, source, 'suffix:' || right(phone, 7) FROM people"
+WANTED = f"{PHONETIC} UNION {LATIN} UNION {FUZZY} WHERE substr(dob, 5) = '-01-01' UNION {ALIAS} UNION SELECT record_id, source, 'document_suffix:' || right(phone, 6) FROM people"
+entry("preset_person_registry", f"WITH {CODED} {REGISTRY}")(lambda s, d: B.from_category("PersonRegistry", PEOPLE).index(people(s, d)))
+entry("preset_wanted_persons", f"WITH {CODED} {WANTED}")(lambda s, d: B.from_category("WantedPersons", Schema.of(last="Name", dob="Date", alias="Alias", phone="Id")).index(ALIASES(s, d)))
 entry("custom_category", f"WITH {PEOPLE_SQL} SELECT 'suffix:' || right(phone, 6) AS block_key, record_id, source FROM people UNION ALL SELECT 'date_fragment:' || substr(dob, 1, 4), record_id, source FROM people")(
     lambda s, d: B.CustomCategory().phone_suffix(6).date_fragment(4).exact_categorical().build(PEOPLE).index(people(s, d))
 )
@@ -281,8 +309,8 @@ alike("sim_address", "street", S.address_overlap, jac(ADDRESS.format(x="x"), ADD
 NUMBER = "nullif(regexp_extract(trim({x}), '^([0-9]+)', 1), '')"
 alike("sim_street_number", "street", lambda a, b: S.street_number(F.substring_index(a, " ", -1), F.substring_index(b, " ", -1)), "CASE levenshtein(split_part(x, ' ', 2), split_part(y, ' ', 2)) WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.0 END", True)
 alike("sim_null", "dob", S.both_present, "CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN 1.0 ELSE 0.0 END", True)
-alike("sim_phonetic", "last", S.phonetic_equal, "0", True)
-SQL.pop("sim_phonetic")
+WHOLE = CODES | WHOLE_CODES
+alike("sim_phonetic", "last", S.phonetic_equal, f"CASE WHEN {coded('upper(x)', WHOLE)} = {coded('upper(y)', WHOLE)} THEN 1.0 ELSE 0.0 END", True)
 ALIAS_SQL = "list_max(flatten(list_transform(string_split(na || '|' || ta, '|'), lambda u: list_transform(string_split(nb || '|' || tb, '|'), lambda v: " + jac(WORDS.format(x="u"), WORDS.format(x="v")) + "))))"
 
 
@@ -385,14 +413,45 @@ def fitted_table(s, params, done: int) -> DataFrame:
     return s.createDataFrame(rows, "field int, level int, m double, u double").select("field", "level", F.round("m", 6).alias("m"), F.round("u", 6).alias("u"), F.lit(done).alias("iterations"))
 
 
-@entry("em_fitted")
+def em_sql(hist: str, fields: int, iterations: int, start: ModelParams | None = None, stop: bool = True) -> str:
+    """CTEs from a table of patterns: cells (id, n, field, level), g<k> (field, level, m, u, prior) after k iterations, moved, fit (the last one)."""
+    levels = ", ".join(f"lvl_{i}" for i in range(fields))
+    grid = [(f, v, start.m[f][v] if start else em.M_PRIOR[v], start.u[f][v] if start else em.U_PRIOR[v]) for f in range(fields) for v in range(4)]
+    values = ", ".join(f"({f}, {v}, {m}::DOUBLE, {u}::DOUBLE)" for f, v, m, u in grid)
+    share = f"(SELECT greatest(0.001, least(0.5, sum(CASE WHEN greatest({levels}) = 3 THEN n ELSE 0 END) / sum(n)::DOUBLE)) FROM {hist})"
+    prior = f"{start.log_prior_odds}::DOUBLE" if start else f"ln({share} / (1 - {share}))"
+    out = [
+        f"ids AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM {hist})",
+        f"cells AS MATERIALIZED (SELECT id, n, unnest({list(range(fields))}) AS field, unnest([{levels}]) AS level FROM ids)",
+        f"g0 AS MATERIALIZED (SELECT field, level, m, u, {prior} AS prior FROM (VALUES {values}) AS v(field, level, m, u))",
+    ]
+    norm = lambda x: f"greatest(CASE WHEN sum({x}) OVER (PARTITION BY field) > 0 THEN {x} / sum({x}) OVER (PARTITION BY field) ELSE 0.25 END, {em.FLOOR}::DOUBLE)"
+    for k in range(1, iterations + 1):
+        weight = f"sum(ln(greatest(m, {em.FLOOR}::DOUBLE)) - ln(greatest(u, {em.FLOOR}::DOUBLE)))"
+        out += [
+            f"z{k} AS MATERIALIZED (SELECT id, min(n) AS n, 1 / (1 + exp(-(min(prior) + {weight}))) AS p FROM cells JOIN g{k - 1} USING (field, level) GROUP BY id)",
+            f"x{k} AS (SELECT field, level, coalesce(sum(z.n * p), 0) AS ms, coalesce(sum(z.n * (1 - p)), 0) AS us FROM g0 LEFT JOIN cells USING (field, level) LEFT JOIN z{k} z USING (id) GROUP BY field, level)",
+            f"y{k} AS (SELECT field, level, {norm('ms')} AS m, {norm('us')} AS u FROM x{k})",
+            f"q{k} AS (SELECT greatest(0.001, least(0.999, sum(n * p) / sum(n))) AS q FROM z{k})",
+            f"g{k} AS MATERIALIZED (SELECT field, level, m / sum(m) OVER (PARTITION BY field) AS m, u / sum(u) OVER (PARTITION BY field) AS u, ln(q / (1 - q)) AS prior FROM y{k}, q{k})",
+        ]
+    moves = " UNION ALL ".join(f"SELECT {k} AS k, max(greatest(abs(x.m - y.m), abs(x.u - y.u), abs(x.prior - y.prior))) AS d FROM g{k} x JOIN g{k - 1} y USING (field, level)" for k in range(1, iterations + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, * FROM g{k}" for k in range(1, iterations + 1))
+    last = f"coalesce((SELECT min(k) FROM moved WHERE d < 1e-6), {iterations})"
+    return ", ".join([*out, f"moved AS ({moves})", f"fit AS MATERIALIZED (SELECT * FROM ({every}) WHERE k = {last if stop else iterations})"])
+
+
+FITTED = "SELECT field, level, round(m, 6) AS m, round(u, 6) AS u, k AS iterations FROM fit"
+
+
+@entry("em_fitted", f"{HIST}, {em_sql('hist', 4, 25)} {FITTED}")
 def em_fitted(s, d):
     """25 iterations over the collapsed patterns."""
     x, n = em.collected(em.patterns(part_compared(s, d), LEVELS), LEVELS)
     return fitted_table(s, *em.run_em(x, n))
 
 
-@entry("em_fitted_spark")
+@entry("em_fitted_spark", f"{HIST}, {em_sql('hist', 4, 3, DEFAULT)} {FITTED}")
 def em_fitted_spark(s, d):
     """Three iterations whose sums are Spark aggregations."""
     return fitted_table(s, em.spark_em(em.patterns(part_compared(s, d), LEVELS), LEVELS, em.default_params(4), 3), 3)
@@ -545,7 +604,11 @@ entry("value_pattern_stats", f"WITH {PART_SQL}, v AS ({STAT}) SELECT field, coun
 )
 
 
-@entry("inferred_schema")
+# The kinds that the name and value rules give the columns of people.
+INFERRED = {"first": "Name", "last": "Name", "dob": "Date", "street": "Address", "phone": "Phone"}
+
+
+@entry("inferred_schema", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in INFERRED.items()) + ") AS v(field, kind)")
 def inferred_schema(s, d):
     found = inference.infer_schema(people(s, d).drop("source"))
     return s.createDataFrame([(f.name, f.kind.value) for f in found.fields], "field string, kind string")
@@ -621,7 +684,10 @@ def _two_versions(p: DataFrame) -> ingest.RecordStore:
 
 # --- ingestion, streaming and whole runs
 
-entry("stable_id")(lambda s, d: ingest.load_dataset(t(s, d, "customer"), ingest.DatasetConfig("crm", "c_custkey")).select("record_id", "record_key", "source"))
+# FNV-1a in 128-bit integers, then as a signed 64-bit one
+FNV = f"list_reduce(list_prepend({ingest.START}::HUGEINT, list_transform(range(1, strlen(k) + 1), lambda i: ascii(substr(k, i, 1))::HUGEINT)), lambda h, b: (xor(h, b) * {ingest.PRIME}::HUGEINT) % {1 << 64}::HUGEINT)"
+SIGNED = f"(CASE WHEN h >= {1 << 63}::HUGEINT THEN h - {1 << 64}::HUGEINT ELSE h END)::BIGINT"
+entry("stable_id", f"SELECT {SIGNED} AS record_id, record_key, 'crm' AS source FROM (SELECT {FNV} AS h, record_key FROM (SELECT 'crm:' || CAST(c_custkey AS VARCHAR) AS k, CAST(c_custkey AS VARCHAR) AS record_key FROM customer))")(lambda s, d: ingest.load_dataset(t(s, d, "customer"), ingest.DatasetConfig("crm", "c_custkey")).select("record_id", "record_key", "source"))
 entry("load_dataset", "SELECT CAST(c_custkey AS VARCHAR) AS record_key, 'crm' AS source, c_name FROM customer")(lambda s, d: ingest.load_dataset(t(s, d, "customer"), ingest.DatasetConfig("crm", "c_custkey")).select("record_key", "source", "c_name"))
 entry("label_source", "SELECT s_suppkey, 'erp' AS source FROM supplier")(lambda s, d: ingest.label_source(t(s, d, "supplier").select("s_suppkey"), "erp"))
 RATED = em.default_params(4)
@@ -634,30 +700,65 @@ def _rated(s, d) -> DataFrame:
     return part_scored(s, d, adapter.adjusted(DEFAULT))
 
 
-@entry("ingest_replay")
+# one by one: every record's heaviest partner among the earlier ones, then the chain of partners to its root
+EARLIER = PP.replace("<= 300", "<= 999999999")
+CHAINED = (
+    f"WITH RECURSIVE {EARLIER}, {PJ}, {PL}, {PS.rsplit(', e AS', 1)[0]}, best AS (SELECT b AS record_id, a AS partner, p FROM s QUALIFY row_number() OVER (PARTITION BY b ORDER BY w DESC, a DESC) = 1), "
+    "step AS (SELECT r.record_id, partner, p, CASE WHEN p >= 0.85 THEN 'AutoMatch' WHEN p >= 0.15 THEN 'Borderline' ELSE 'AutoReject' END AS band FROM people r LEFT JOIN best USING (record_id)), "
+    "root(record_id, entity) AS (SELECT record_id, record_id FROM step WHERE band <> 'AutoMatch' UNION ALL SELECT x.record_id, root.entity FROM step x JOIN root ON x.partner = root.record_id WHERE x.band = 'AutoMatch')"
+)
+WAITS = "band = 'Borderline' AND record_id NOT IN (SELECT partner FROM step WHERE band = 'AutoMatch')"
+
+
+@entry("ingest_replay", f"{CHAINED} SELECT record_id, record_id AS seq, band, CASE WHEN band = 'AutoMatch' THEN partner END AS partner, CASE WHEN {WAITS} THEN NULL ELSE entity END AS entity, CASE WHEN band = 'AutoReject' THEN 1.0 ELSE round(p, 6) END AS score, CASE band WHEN 'AutoReject' THEN 'Manual' WHEN 'AutoMatch' THEN 'AutoMatch' END AS method FROM step JOIN root USING (record_id)")
 def ingest_replay(s, d):
     """People of source A, then of B, as two micro-batches."""
     i = Ingester(s, PEOPLE_CMP, B.CompositeBlocker(*PHONE_DAY))
     p = people(s, d).withColumn("seq", F.col("record_id"))
     i.process(p.where("source = 'A'"))
     i.process(p.where("source = 'B'"))
-    return i.results
-
-
-@entry("link_people")
+    return i.results.withColumn("score", F.round("score", 6))
+
+
+def resolved_sql(fields: int, records: str) -> str:
+    """CTEs from compared pairs lv to members: patterns, parameters, thresholds, edges, components, pruned stars, entity ids."""
+    levels = ", ".join(f"lvl_{i}" for i in range(fields))
+    ranks = f"(SELECT {ranked('p >= 0.7', 0.05)} AS hi, {ranked('p <= 0.3', 0.95)} AS lo)"
+    return ", ".join([
+        f"hist AS (SELECT {levels}, count(*) AS n FROM lv GROUP BY ALL)", em_sql("hist", fields, 25),
+        "s AS MATERIALIZED (SELECT id, min(n) AS n, 1 / (1 + exp(-(min(prior) + sum(ln(m) - ln(u))))) AS p FROM cells JOIN fit USING (field, level) GROUP BY id)",
+        f"thr AS MATERIALIZED (SELECT CASE WHEN hi IS NULL THEN 0.9::DOUBLE ELSE greatest(hi * {em.BELOW!r}::DOUBLE, 0.85::DOUBLE) END AS up FROM {ranks})",
+        f"e AS MATERIALIZED (SELECT a, b, p FROM lv JOIN ids USING ({levels}) JOIN s USING (id), thr WHERE p >= up AND p >= 0.85)", REACH_ALL,
+        "comp AS MATERIALIZED (SELECT node AS record_id, min(root) AS entity FROM r GROUP BY node)", "big AS (SELECT entity FROM comp GROUP BY entity HAVING count(*) > 50)",
+        "ends AS (SELECT a AS record_id, b AS other, p FROM e UNION ALL SELECT b, a, p FROM e)", "deg AS (SELECT entity, record_id, count(*) AS n FROM ends JOIN comp USING (record_id) WHERE entity IN (SELECT entity FROM big) GROUP BY ALL)",
+        "hub AS (SELECT entity, record_id FROM deg QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, record_id) = 1)",
+        "star AS (SELECT entity, record_id FROM hub UNION SELECT entity, other FROM hub JOIN ends USING (record_id))",
+        "mem AS (SELECT record_id, entity FROM comp WHERE entity NOT IN (SELECT entity FROM big) UNION ALL SELECT record_id, min(record_id) OVER (PARTITION BY entity) FROM star)",
+        "best AS (SELECT record_id, max(p) AS score FROM ends GROUP BY record_id)", "numbers AS (SELECT entity, row_number() OVER (ORDER BY entity) AS entity_id FROM (SELECT DISTINCT entity FROM mem))",
+        f"stored AS (SELECT entity_id, record_id, record_key, round(score, 6) AS score, 'AutoMatch' AS method, source FROM mem JOIN numbers USING (entity) JOIN best USING (record_id) JOIN {records} USING (record_id))",
+    ])
+
+
+NAME_LEVEL = lambda f: lvl(f"greatest(jaro_winkler_similarity(x.{f}, y.{f}), {jac(WORDS.format(x=f'x.{f}'), WORDS.format(x=f'y.{f}'))})", FieldKind.NAME)
+BETWEEN = lambda sql, f: re.sub(r"\b([xy])\b", rf"\1.{f}", sql)
+REGISTERED = f"idx AS (SELECT DISTINCT block_key, record_id, source FROM ({REGISTRY})), kept AS (SELECT * FROM idx WHERE block_key IN (SELECT block_key FROM idx GROUP BY block_key HAVING count(*) <= 300)), pairs AS (SELECT DISTINCT x.record_id AS a, y.record_id AS b FROM kept x JOIN kept y ON x.block_key = y.block_key AND x.record_id < y.record_id AND x.source <> y.source)"
+PERSON_LEVELS = f"lv AS MATERIALIZED (SELECT a, b, {NAME_LEVEL('first')} AS lvl_0, {NAME_LEVEL('last')} AS lvl_1, {lvl(BETWEEN(DATES, 'dob'), FieldKind.DATE)} AS lvl_2, {lvl(jac(ADDRESS.format(x='x.street'), ADDRESS.format(x='y.street')), FieldKind.ADDRESS)} AS lvl_3, {lvl(BETWEEN(HAMMING, 'phone'), FieldKind.PHONE)} AS lvl_4 FROM pairs JOIN people x ON a = x.record_id JOIN people y ON b = y.record_id)"
+
+
+@entry("link_people", f"WITH RECURSIVE {CODED.replace(', s AS', ', coded AS', 1)}, {REGISTERED.replace(' FROM s ', ' FROM coded ')}, {PERSON_LEVELS}, {resolved_sql(5, 'people')} SELECT * FROM stored")
 def link_people(s, d):
     """The whole pipeline across two sources, with learned parameters."""
     store = EntityStore(s)
     Pipeline(PEOPLE, store, config=PipelineConfig(link_mode="link_only")).run_batch(people(s, d))
-    return store.members()
+    return store.members().withColumn("score", F.round("score", 6))
 
 
-@entry("dedupe_parts")
+@entry("dedupe_parts", f"{COMPARED_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, keyed AS (SELECT record_id, CAST(record_id AS VARCHAR) AS record_key, CAST(NULL AS VARCHAR) AS source FROM rec), {resolved_sql(4, 'keyed')} SELECT * FROM stored")
 def dedupe_parts(s, d):
     store = EntityStore(s)
     records = parts(s, d).withColumn("record_key", F.col("record_id").cast("string"))
     Pipeline(PART_SCHEMA, store, B.CompositeBlocker(BLOCK)).run_batch(records)
-    return store.members()
+    return store.members().withColumn("score", F.round("score", 6))
 
 
 @entry("dedupe_documents", "SELECT doc_id AS record_id, min(doc_id) OVER (PARTITION BY text) AS entity FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")

@@ -83,8 +83,11 @@ class Pipeline:
         report.records_in = records.count()
         if not report.records_in:
             return Resolved(report, None)
-        print_ = fingerprint(self.schema, records.limit(1000), c.field_mappings)
-        mode, params = self.registry.startup(print_) if self.registry else ("ColdStart", None)
+        mode, params, print_ = "ColdStart", None, None
+        if self.registry:  # the records of the smallest hashes: the same ones in every run
+            sample = records.orderBy(F.xxhash64("record_id"), "record_id").limit(1000)
+            print_ = fingerprint(self.schema, sample, c.field_mappings)
+            mode, params = self.registry.startup(print_)
         if c.force_em and mode == "WarmLoad":
             mode = "WarmStart"
         report.startup_mode = mode

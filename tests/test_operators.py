@@ -11,8 +11,9 @@ from linkweave.operators import em, inference
 from linkweave.operators import keys as K
 from linkweave.operators.compare import FieldComparator
 from linkweave.operators.graph import components
-from linkweave.plans import catalogue
+from linkweave.plans import catalogue, scenarios
 from linkweave.plans.pipeline import Pipeline
+from linkweave.sources import sinks
 from linkweave.sources.ingest import fnv1a
 from linkweave.sources.store import EntityStore, ModelRegistry
 from linkweave.streaming.ingester import Ingester
@@ -164,3 +165,133 @@ def test_ingester_batches_equal_one_by_one(spark):
         return sorted(map(sorted, found.values()))
 
     assert groups(one) == groups(many) == [[1, 2, 4], [3, 5]]
+
+
+PERSON = "record_id long, seq long, n string, p string"
+
+
+def _stream(spark, **more):
+    return Ingester(spark, Schema.of(n="Categorical", p="Phone"), B.CompositeBlocker(K.Suffix("p", 7)), **more)
+
+
+def _entities(i):
+    return {r["record_id"]: r["entity"] for r in i.results.collect()}
+
+
+def test_ingester_joins_the_partners_entity_whatever_the_ids(spark):
+    """A record of a smaller id that comes later joins the entity that is there, in one batch or over several."""
+    a, b = "0612345678", "0699999999"
+    rows = [(100, 1, "x", a), (5, 2, "x", a), (70, 3, "y", b), (3, 4, "y", b), (1, 5, "x", a)]
+    want = {100: 100, 5: 100, 1: 100, 70: 70, 3: 70}
+    for sizes in ([5], [1, 1, 1, 1, 1], [2, 3], [3, 2]):
+        i, at = _stream(spark), 0
+        for n in sizes:
+            i.process(spark.createDataFrame(rows[at : at + n], PERSON))
+            at += n
+        assert _entities(i) == want, sizes
+
+
+def test_ingester_replays_and_restarts(spark):
+    """A batch that comes again changes nothing; another ingester on the same folder goes on; an unfinished batch leaves no trace."""
+    df = lambda *rs: spark.createDataFrame(list(rs), PERSON)
+    one = _stream(spark)
+    first = df((9, 1, "x", "0612345678"), (8, 2, "z", "0611111111"))
+    got = sorted(one.process(first, 0).collect())
+    assert sorted(one.process(first, 0).collect()) == got and one.results.count() == 2
+    two = _stream(spark, path=one.path)
+    two.versions.write("results", one.results.withColumn("batch", F.lit(1).cast("long")))  # a batch that failed before its state was published
+    assert two.results.count() == 2
+    assert [(r["record_id"], r["partner"], r["entity"]) for r in two.process(df((2, 3, "x", "0612345678")), 1).collect()] == [(2, 9, 9)]
+    assert _entities(one) == {9: 9, 8: 8, 2: 9} and two.versions.state()["batch"] == 1
+    assert sorted(two.process(first, 0).collect()) == got
+
+
+def test_ingester_borderline_partner_founds_an_entity(spark):
+    """A borderline record has no entity until a later one matches it."""
+    params = em.default_params(2)
+    i = _stream(spark, params=params)
+    i.process(spark.createDataFrame([(50, 1, "x", "0612345678")], PERSON))
+    i.params = type(params)(params.m, params.u, params.log_prior_odds, 2.0, 0.0)  # whatever it meets stays borderline
+    i.process(spark.createDataFrame([(40, 2, "x", "0612345678")], PERSON))
+    assert _entities(i) == {50: 50, 40: None} and i.borderlines().count() == 1
+    i.params = params
+    i.process(spark.createDataFrame([(30, 3, "x", "0612345678")], PERSON))  # of equal partners the last one
+    assert _entities(i) == {50: 50, 40: 40, 30: 40} and i.borderlines().count() == 0
+
+
+def test_ingester_many_batches_compact(spark):
+    i = _stream(spark)
+    i.versions.COMPACT = 3
+    for k in range(6):
+        i.process(spark.createDataFrame([(10 - k, k, "x", "0612345678")], PERSON))
+    assert set(_entities(i).values()) == {10} and all(len(p) <= 3 for p in i.versions.state()["parts"].values())
+
+
+def test_ingester_as_a_stream_sink(spark, tmp_path):
+    source = tmp_path / "in"
+    df = spark.createDataFrame([(7, 1, "x", "0612345678"), (6, 2, "x", "0612345678")], PERSON)
+    df.coalesce(1).write.parquet(str(source))
+    i = _stream(spark, path=f"file://{tmp_path}/state")
+    for _ in range(2):  # the second run finds nothing new
+        q = i.start(spark.readStream.schema(df.schema).parquet(str(source)), str(tmp_path / "checkpoint"))
+        q.processAllAvailable()
+        q.stop()
+    assert _entities(_stream(spark, path=f"file://{tmp_path}/state")) == {7: 7, 6: 7}
+
+
+def test_em_smoothing(spark):
+    x, n = np.array([[3, 3], [0, 0], [3, 0]]), np.array([50.0, 900.0, 5.0])
+    plain, _ = em.run_em(x, n)
+    smooth, done = em.run_em(x, n, smoothing=em.SMOOTHING)
+    assert done >= 1 and (smooth.upper_threshold, smooth.lower_threshold) == em.SMOOTHED_THRESHOLDS
+    assert min(min(f) for f in plain.m) < 1e-8 < 1e-6 < min(min(f) for f in smooth.m + smooth.u)
+    assert np.allclose(np.sum(smooth.m, 1), 1) and np.allclose(plain.m, smooth.m, atol=1e-3)
+
+
+def test_rules_from_files(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([(i, f"AB{i}", "x") for i in range(20)], "record_id long, colour string, dob string")
+    names, values = tmp_path / "names.toml", tmp_path / "values.toml"
+    names.write_text('[[rules]]\nkind = "Categorical"\nexact = ["dob"]\n')
+    values.write_text('[[rules]]\nkind = "LicensePlate"\nregex = "^AB"\nshare = 0.9\n')
+    kinds = lambda s: {f.name: f.kind.value for f in s.fields}
+    assert kinds(inference.infer_schema(d)) == {"colour": "Name", "dob": "Date"}
+    assert kinds(inference.infer_schema(d, name_rules=inference.rules_from(str(names)), value_rules=inference.rules_from(str(values)))) == {"colour": "LicensePlate", "dob": "Categorical"}
+    monkeypatch.setenv("LINKWEAVE_NAME_RULES", str(names))
+    monkeypatch.setenv("LINKWEAVE_VALUE_RULES", str(values))
+    assert kinds(inference.infer_schema(d, {"colour": "Id"})) == {"colour": "Id", "dob": "Categorical"}
+    values.write_text('[[rules]]\nkind = "Colour"\n')
+    with pytest.raises(ValueError):
+        inference.infer_schema(d)
+
+
+def test_scenario_run(spark, tmp_path):
+    """A small two-register scenario from files: everything planted is found, and the report has its fields."""
+    s = scenarios.SCENARIOS["brp_sis/link"]
+    assert s.dataset == "brp_sis_link" and [m.a_field for m in s.mappings] == scenarios.SHARED["sis"] and len(scenarios.full_size()) == 8
+    assert [x.name for x in scenarios.throughput()] == ["brp/dedupe", "kvk/dedupe", "micro/brp/dedupe"] and len(scenarios.by_tag("sis")) == 2
+    head = "voornamen,achternaam,geboortedatum,geboorteplaats,geboorteland,nationaliteit,geslacht"
+    names = [(a, b) for a in ("Anna", "Pieter", "Maria", "Kees", "Femke") for b in ("Jansen", "Bakker", "Visser", "Mulder", "Peters", "Dekker")]
+    person = lambda k: f"{names[k][0]},{names[k][1]},19{50 + k}-0{k % 9 + 1}-1{k % 7},Utrecht,NL,NL,{'MV'[k % 2]}"
+    folder = tmp_path / "benchmarks/brp_sis/link"
+    folder.mkdir(parents=True)
+    (folder / "source_brp.csv").write_text("\n".join([f"record_id,{head},straatnaam", *(f"B{k},{person(k)},Kerkstraat" for k in range(30))]))
+    (folder / "source_sis.csv").write_text("\n".join([f"record_id,{head},categorie", *(f"S{k},{person(k)},x" for k in range(20))]))
+    (folder / "ground_truth.csv").write_text("\n".join(["record_id_a,record_id_b,is_match,match_type", *(f"B{k},S{k},true,{'even' if k % 2 == 0 else 'odd'}" for k in range(20))]))
+    done, report = scenarios.run(spark, s, f"file://{tmp_path}")
+    m = report["metrics"]
+    assert (m["total_records"], m["true_pos"], m["false_pos"], m["false_neg"], m["f1"]) == (50, 20, 0, 0, 1.0) and list(m) == list(sinks.METRICS)
+    assert [x["match_type"] for x in report["strat"]] == ["even", "odd"] and report["files"]["strat_csv"] == "brp_sis_link_strat.csv" and done.report.candidate_pairs >= 20
+
+
+def test_comparison_of_summaries(spark, tmp_path):
+    base = {c: "1" for c in sinks.SUMMARY}
+    rows = [base | {"library": lib, "mode": mode, "dataset": ds, "f1": "0.98765"} for lib, mode, ds in (("b", "deduplicate", "brp_dedupe"), ("a", "dedupe", "brp_dedupe"), ("a", "link_only", "brp_link"))]
+    for k, r in enumerate(rows):
+        sinks.write_summary(spark.createDataFrame([r]), str(tmp_path / f"in/{k}_summary"))
+    found = sinks.comparison(spark, str(tmp_path / "in"), "dedupe", "brp")
+    assert [(r["library"], r["f1"]) for r in found.collect()] == [("a", "0.98765"), ("b", "0.98765")]
+    assert sinks.comparison(spark, str(tmp_path / "in")).count() == 3
+    path = sinks.write_comparison(found, str(tmp_path / "out"), "dedupe")
+    assert path.endswith("comparison_dedupe_all") and spark.read.csv(path, header=True).columns == sinks.SUMMARY
+    text = sinks.comparison_text(found)
+    assert "0.988" in text and len(text.splitlines()) == 4
