@@ -7,9 +7,10 @@ the 1 in 16 that agree by chance); what is estimated far below the threshold goe
 
 No bucket is expanded into all its pairs, and none is capped. First each member is compared with its bucket's smallest
 member (a star); components of the confirmed links follow. Buckets that still hold several components are tied into groups, and each group is
-cut into blocks of bounded size. Every block meets all members outside the group's main component, whose exact intersections with the whole
-block are counted at once over the block's inverted index; only confirmed links come out, at most one for a member and
-a component. Pairs inside one component can't change the result.
+cut into blocks of bounded size. Every block meets all members outside the group's main component, its guests, in chunks of bounded size: first by
+the packed bits alone, then, those that come near enough to one of the block, by their exact intersections with the whole block, counted at once
+over the block's inverted index. Only confirmed links come out, at most one for a member and a component. Pairs inside one component
+can't change the result.
 
 At similarity 0.85 a pair shares no band with probability 6e-11, at 0.8 with 5e-8. Texts that are null, empty or blank have an empty set and are
 linked with nothing. Rows that share a doc_id are one document with the links of each; rows without a doc_id have component_id null, are
@@ -31,8 +32,8 @@ BANDS, ROWS, SEED = 32, 4, 20
 PERMS = BANDS * ROWS
 #: Pairs whose estimated similarity is lower than the threshold by more than this (over 6 standard errors) are not confirmed.
 SLACK = 0.2
-#: Shingles of the members in one block.
-BLOCK = 1_000_000
+#: Shingles of the members in one block; members in one block, and guests that meet a block in one task.
+BLOCK, MEMBERS = 1_000_000, 512
 #: Requests of texts up to this number (32 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 MAX_WORDS = 400_000
@@ -162,6 +163,35 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     return rows.mapInArrow(run, "a long, b long")
 
 
+def likely(least: float):
+    """For rows by cell (grp, block, chunk), members first: the guests that the packed bits put near a member of another component."""
+    ones, one, two = np.uint64(0x1111111111111111), np.uint64(1), np.uint64(2)
+
+    def run(batches):
+        at, bits, parts, own = None, [], [], None
+        for batch in batches:
+            out: list = []
+            for grp, block, chunk, guest, rep, part, x in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if at != (grp, block, chunk):
+                    at, bits, parts, own = (grp, block, chunk), [], [], None
+                if not guest:
+                    bits.append(x)
+                    parts.append(part)
+                    continue
+                if own is None:
+                    own = np.array(bits, np.int64).reshape(-1, 8).view(np.uint64), np.array(parts, np.int64)
+                unlike = own[0] ^ np.array(x, np.int64).view(np.uint64)
+                unlike |= unlike >> one
+                unlike = (unlike | unlike >> two) & ones
+                equal = PERMS - np.bitwise_count(unlike).sum(1)
+                if (((equal / PERMS - 1 / 16) / (1 - 1 / 16) >= least) & (own[1] != part)).any():
+                    out.append((grp, block, rep, part))
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["grp", "block", "rep", "part"])
+
+    return run
+
+
 def across(member: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between different components that share a bucket of three or more."""
     spark = member.sparkSession
@@ -175,24 +205,35 @@ def across(member: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame
     size = reps.groupBy("rep").agg(F.sum("n_shingles").alias("weight"))
     of = groups.join(found, "node", "left").select("grp", F.col("node").alias("rep"), F.coalesce("component", "node").alias("part")).join(size, "rep")
     of = common.stored(of, "groups", spark)
-    mains = of.groupBy("grp", "part").agg(F.sum("weight").alias("w")).groupBy("grp").agg(F.max(F.struct("w", "part"))["part"].alias("main"), F.ceil(F.sum("w") / BLOCK).cast("int").alias("blocks"))
+    mains = of.groupBy("grp", "part").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    blocks = F.ceil(F.greatest(F.sum("w") / BLOCK, F.sum("n") / MEMBERS)).cast("int").alias("blocks")
+    mains = mains.groupBy("grp").agg(F.max(F.struct("w", "part"))["part"].alias("main"), blocks, F.sum("n").alias("n"))
     of = of.join(mains, "grp").withColumn("loose", F.col("part") != F.col("main"))
-    base = of.select("rep", "grp", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("guest"), "part")
-    guests = of.where("loose").select("rep", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("guest"), "part")
+    base = of.select("rep", "grp", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "part", F.ceil(F.col("n") / MEMBERS).cast("int").alias("chunks"))
+    guests = of.where("loose").select("rep", "grp", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(SEED)), F.ceil(F.col("n") / MEMBERS)).cast("int").alias("chunk"))
+    cell = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    # first the packed signatures meet, chunks of guests with blocks of members; only guests that may link go on with their texts
+    packed = base.select("grp", "block", cell, F.lit(False).alias("guest"), "rep", "part").unionByName(guests.withColumn("guest", F.lit(True)))
+    packed = packed.join(reps.select("rep", "bits"), "rep").select("grp", "block", "chunk", "guest", "rep", "part", "bits")
+    packed = packed.repartition("grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk", "guest")
+    guests = common.stored(packed.mapInArrow(likely(percent / 100 - SLACK), "grp long, block int, rep long, part long").distinct(), "guests", spark)
+    chunks = guests.groupBy("grp", "block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("chunks"))
+    base = base.drop("chunks").join(chunks, ["grp", "block"]).select("grp", "block", cell, "rep", "part", F.lit(False).alias("guest"))
+    guests = guests.join(chunks, ["grp", "block"]).select("grp", "block", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "part", F.lit(True).alias("guest"))
     asked = common.stored(base.unionByName(guests), "asked", spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
-    rows = texts.join(asked, "rep").select("grp", "block", "guest", "rep", "part", "text")
-    rows = rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "guest")
+    rows = texts.join(asked, "rep").select("grp", "block", "chunk", "guest", "rep", "part", "text")
+    rows = rows.repartition("grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk", "guest")
 
     def run(batches):
         hashes, at, sets, ids, parts, index = WordHashes(), None, [], [], [], None
         for batch in batches:
             got_a, got_b = [], []
-            for grp, block, guest, rep, part, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if at != (grp, block):
-                    at, sets, ids, parts, index = (grp, block), [], [], [], None
+            for grp, block, chunk, guest, rep, part, text in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if at != (grp, block, chunk):
+                    at, sets, ids, parts, index = (grp, block, chunk), [], [], [], None
                 s = shingles(text, n, hashes)
                 if not guest:
                     sets.append(s)
@@ -244,6 +285,7 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     more = common.stored(across(member, found, reps, docs, n, percent), "links-2", spark)
     tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
     final = components(tied.unionByName(more)) if more.limit(1).count() else found
+    common.forget(spark, reps, member, links, more)
     whole = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("root"))
     out = sig.join(whole, ["c1", "c2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
