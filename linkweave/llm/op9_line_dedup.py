@@ -83,6 +83,11 @@ class LineIndex:
         common.forget(self.spark, run, other)
         self.put(level + 1, merged)
 
+    def close(self) -> None:
+        """Deletes the runs, when no more batches come; the settled hashes stay for plans that read them."""
+        common.forget(self.spark, *self.levels.values())
+        self.levels = {}
+
     def frequent(self) -> DataFrame:
         """Hashes in at least min_docs documents of all batches so far."""
         return reduce(DataFrame.unionByName, self.settled)
@@ -122,7 +127,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    out = dedup_lines(docs, build(docs))
+    index = build(docs)
+    index.close()
+    out = dedup_lines(docs, index)
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
