@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import forget, stored
 
 
+def marked(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """e stored, and its size and checksum, which the same job observes as it writes."""
+    seen = Observation()
+    out = stored(e.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "cc")
+    return out, (seen.get["n"], seen.get["x"])
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """node, component for all nodes of edges (a, b: long); component is the smallest node that is reachable.
 
@@ -15,18 +22,16 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     before the shuffle and hot nodes are one side of an equi-join that Spark can split. Rounds are stored in the shared
     folder; stars come out in a few rounds, chains in a logarithmic number. Nothing is gathered on the driver but a count and a checksum.
     """
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    mark = lambda d: tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    was = mark(e)
+    e, was = marked(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds if was[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = F.inline(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v"))))
-        new = stored(large.join(low, "u").select(hung).where("u <> v").distinct(), "cc")
+        new, now = marked(large.join(low, "u").select(hung).where("u <> v").distinct())
         forget(e)
-        e, now = new, mark(new)
+        e = new
         if now == was:
             break
         was = now
