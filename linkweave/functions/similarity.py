@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,12 +120,17 @@ def by_distinct(f: Callable[[str, str], float]):
     return run
 
 
-def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(jaro_winkler_many(a.tolist(), b.tolist()))
+def _jaro_winkler(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Each pair of values that differs in the batch once."""
+    x, y = a.dictionary_encode(), b.dictionary_encode()
+    i, j = (pc.fill_null(d.indices, len(d.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64) for d in (x, y))
+    xs, ys = x.dictionary.to_pylist() + [None], y.dictionary.to_pylist() + [None]
+    pairs, where = np.unique(i * len(ys) + j, return_inverse=True)
+    return pa.array(jaro_winkler_many([xs[p] for p in pairs // len(ys)], [ys[p] for p in pairs % len(ys)])[where], from_pandas=True)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_jaro_winkler, "double")(a, b)  # nan arrives as null
+    return F.arrow_udf(_jaro_winkler, "double")(a, b)
 
 
 def _same_code(a: str, b: str) -> float:
@@ -151,9 +158,9 @@ def tokens(x: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct items; two empty ones are alike."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, 1.0).otherwise(both / union)
+    all_ = F.size(a) + F.size(b)
+    share = lambda both: F.when(all_ == both, 1.0).otherwise(both / (all_ - both))
+    return F.transform(F.array(F.size(F.array_intersect(a, b))), share)[0]  # bound, so that it is computed once
 
 
 token_overlap = prepared(tokens, jaccard)

@@ -29,6 +29,9 @@ THRESHOLDS: dict[FieldKind, tuple[float, float, float]] = {
 }
 
 
+ABSENT = -1.0
+
+
 def level(similarity: Column, thresholds: tuple[float, float, float]) -> Column:
     """Compared in single precision, as the thresholds are meant."""
     s = similarity.cast("float")
@@ -72,12 +75,17 @@ class FieldComparator:
         each = [f.compare(F.col(f"__a{ready[id(f)]}"), F.col(f"__b{ready[id(f)]}")) if id(f) in ready else f(a, b) for f in self.fns[i]]
         return each[0] if len(each) == 1 else F.greatest(*each)
 
-    def _level(self, i: int) -> Column:
-        _, _, _, policy = self.fields[i]
+    def _alike(self, i: int) -> Column:
+        """The similarity of field i, ABSENT where a side is missing."""
         a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
         there = a.isNotNull() & b.isNotNull() & (a != "") & (b != "")
+        return F.when(there, F.coalesce(self.similarity(i, a, b), F.lit(0.0))).otherwise(ABSENT).alias(f"__s{i}")
+
+    def _level(self, i: int) -> Column:
+        _, _, _, policy = self.fields[i]
+        s = F.col(f"__s{i}")
         absent = NULL if (policy == NullPolicy.SKIP or (policy is None and self.missing_as_null)) else NONE
-        return F.when(there, level(self.similarity(i, a, b), self.thresholds[i])).otherwise(absent).alias(f"lvl_{i}")
+        return F.when(s == ABSENT, absent).otherwise(level(s, self.thresholds[i])).alias(f"lvl_{i}")
 
     def compare(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
         """pairs (a, b) with a level for each field. Records join twice by id; only the compared fields travel."""
@@ -104,4 +112,6 @@ class FieldComparator:
             # equal fields of both sides share one preparation
             sides.append(F.col(f"{'x' if n.startswith('__a') else 'y'}.{n if x is not None else n.replace('__b', '__a', 1)}").alias(n))
         d = d.select("a", "b", *sides)
-        return d.select("a", "b", *(self._level(i) for i in range(len(self.fields))))
+        # similarities first, as columns of their own: a level asks for them several times
+        every = range(len(self.fields))
+        return d.select("a", "b", *map(self._alike, every)).select("a", "b", *map(self._level, every))
