@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linkweave import storage
 from linkweave.model import ConfigError, LinkMode, Schema
 from linkweave.operators import judge as J
+from linkweave.operators import judge_model as JM
 from linkweave.plans.pipeline import Pipeline
 from linkweave.sources import ingest, sinks
 from linkweave.sources.store import EntityStore
@@ -148,3 +149,47 @@ def test_shared_dir_on_a_cluster(monkeypatch):
         else:
             with pytest.raises(RuntimeError):
                 storage.shared_dir(s)
+
+
+def _field(number, value):
+    """One protobuf field: a number, or bytes (texts and messages)."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _tiny_model():
+    """An ONNX model whose two logits are minus and plus the largest input id."""
+    attribute = lambda name, i: _field(5, _field(1, name) + _field(3, i) + _field(20, 2))
+    ints = lambda name, i: _field(5, _field(1, name) + _field(8, i) + _field(20, 7))
+    node = lambda op, ins, out, *more: _field(1, b"".join(_field(1, x) for x in ins) + _field(2, out) + _field(4, op) + b"".join(more))
+    value = lambda n, name, kind: _field(n, _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, _field(1, _field(2, b"n")) + _field(1, _field(2, name + b"_w"))))))
+    nodes = [node(b"Cast", [b"input_ids"], b"f", attribute(b"to", 1)), node(b"ReduceMax", [b"f"], b"top", ints(b"axes", 1), attribute(b"keepdims", 1)), node(b"Neg", [b"top"], b"low"), node(b"Concat", [b"low", b"top"], b"logits", attribute(b"axis", 1))]
+    graph = b"".join(nodes) + _field(2, b"g") + value(11, b"input_ids", 7) + value(12, b"logits", 1)
+    return _field(1, 7) + _field(7, graph) + _field(8, _field(1, b"") + _field(2, 11))
+
+
+def test_nli_judge(spark, tmp_path, monkeypatch):
+    """A tiny model through the whole judge: id 0 everywhere says nothing, larger ids speak for a match."""
+    import numpy as np
+    import tokenizers
+
+    t = tokenizers.Tokenizer(tokenizers.models.WordLevel({"no": 0, "maybe": 0, "yes": 5, "[UNK]": 1}, "[UNK]"))
+    t.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    folder = tmp_path / "nli-base/fp16_fused/nli-minilm-onnx"
+    folder.mkdir(parents=True)
+    t.save(str(folder / "tokenizer.json"))
+    (folder / "model.onnx").write_bytes(_tiny_model())
+    monkeypatch.setenv(JM.MODELS, str(tmp_path))
+    spec = JM.choose(JM.models_folder(), 8 << 30)  # the larger model isn't there
+    assert spec.name.endswith("MiniLM2-L6-H768") and spec.max_length == 512
+    (tmp_path / "nli-base/fp16_fused/nli-deberta-v3-base-onnx").mkdir()
+    assert JM.choose(JM.models_folder(), 8 << 30).memory == 2 << 30 and JM.choose(JM.models_folder(), 1 << 30).name == spec.name
+    encoded = JM.tokenizer((folder / "tokenizer.json").read_bytes(), 3)(["yes", "no yes no no", ""])
+    assert encoded["input_ids"].tolist() == [[5, 0, 0], [0, 5, 0], [0, 0, 0]] and encoded["attention_mask"].sum(1).tolist() == [1, 3, 0]
+    pairs = spark.createDataFrame([(1, 2, "no yes"), (1, 3, "no no"), (1, 4, "yes")], "a long, b long, pair_text string")
+    got = {r["b"]: r["verdict"] for r in JM.nli_judge(spec, batch=2)(pairs).collect()}
+    assert got == {2: J.INCREASE, 3: J.NO_CHANGE, 4: J.INCREASE}
+    score = JM.scorer(_tiny_model(), JM.tokenizer((folder / "tokenizer.json").read_bytes(), 3), 1)
+    assert np.allclose(score(["yes", "no"]), [1 / (1 + np.exp(-10)), 0.5])
+    with pytest.raises(JM.JudgeError):
+        JM.nli_judge(JM.ModelSpec("x", "nowhere", "nowhere"))(pairs)
