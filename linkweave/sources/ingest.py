@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.normalize import to_text
+
 PRIME, START = 0x100000001B3, 0xCBF29CE484222325
 
 
@@ -46,6 +48,14 @@ def load_dataset(df: DataFrame, config: DatasetConfig) -> DataFrame:
     return keyed.select(stable_id(F.col("source"), F.col("record_key")).alias("record_id"), "record_key", "source", *rest)
 
 
+def load_frame(spark: SparkSession, frame, config: DatasetConfig) -> DataFrame:
+    """load_dataset of a table in memory: pandas, Arrow, or anything that gives an Arrow table by to_arrow(). Dates and times become text."""
+    table = frame.to_arrow() if hasattr(frame, "to_arrow") else frame
+    d = spark.createDataFrame(table)
+    timed = {c: to_text(F.col(f"`{c}`"), kind) for c, kind in d.dtypes if kind == "date" or kind.startswith("timestamp")}
+    return load_dataset(d.withColumns(timed) if timed else d, config)
+
+
 def label_source(df: DataFrame, source: str) -> DataFrame:
     return df.withColumn("source", F.lit(source))
 

@@ -193,3 +193,24 @@ def test_nli_judge(spark, tmp_path, monkeypatch):
     assert np.allclose(score(["yes", "no"]), [1 / (1 + np.exp(-10)), 0.5])
     with pytest.raises(JM.JudgeError):
         JM.nli_judge(JM.ModelSpec("x", "nowhere", "nowhere"))(pairs)
+
+
+def test_load_frame(spark):
+    """Tables in memory, pandas or Arrow: the same records, temporal cells as text, whole numbers as they are."""
+    import datetime
+
+    import pandas as pd
+    import pyarrow as pa
+
+    rows = {"k": ["a", None], "born": [datetime.date(1980, 2, 29), None], "at": [datetime.datetime(2024, 1, 2, 3, 4, 5), None], "n": [7, 8]}
+    want = [("a", "1980-02-29", "2024-01-02T03:04:05", 7), ("1", None, None, 8)]
+
+    class Other:
+        def to_arrow(self):
+            return pa.table(rows)
+
+    for frame in (pa.table(rows), Other(), pd.DataFrame(rows)):
+        got = ingest.load_frame(spark, frame, ingest.DatasetConfig("mem", "k")).coalesce(1).collect()
+        assert {r["source"] for r in got} == {"mem"} and {r["n"] for r in got} == {7, 8}
+        first = next(r for r in got if r["n"] == 7)
+        assert (first["record_key"], first["born"], first["at"]) == want[0][:3]
