@@ -160,6 +160,7 @@ class SuffixIndex:
         self.newest: DataFrame | None = None
         self.members: list[DataFrame] = []
         self.matches: list[DataFrame] = []
+        self.scans: list[DataFrame] = []
 
     @staticmethod
     def merged(rows: DataFrame, *more: Column) -> DataFrame:
@@ -206,6 +207,7 @@ class SuffixIndex:
         none = F.lit(None).cast("long")
         anchors = anchors.select("kh", none.alias("sh"), none.alias("ra"), none.cast("int").alias("rb"), none.alias("first"), none.alias("last"), F.lit(True).alias("shared"))
         both = common.stored(whole.unionByName(anchors), "suffix-scan", spark)
+        self.scans.append(both)
         named = both.where("shared").select("kh")
         if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
             named = F.broadcast(named)
@@ -276,8 +278,8 @@ class SuffixIndex:
 
     def close(self) -> None:
         """Deletes the arrays and matches; the members stay for results that read them."""
-        common.forget(self.spark, *self.levels.values(), *self.matches, *([self.newest] if self.newest is not None else []))
-        self.levels, self.matches, self.newest = {}, [], None
+        common.forget(self.spark, *self.levels.values(), *self.matches, *self.scans, *([self.newest] if self.newest is not None else []))
+        self.levels, self.matches, self.scans, self.newest = {}, [], [], None
 
 
 def union(tables: list[DataFrame]) -> DataFrame:
@@ -316,8 +318,11 @@ def as_spans(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["kh", "sh", "lo", "hi"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES, kept_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (start, end of each maximal removed run), kept_sha256 and, if asked for, kept (binary)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES, kept_bytes: bool = False, kept_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (start, end of each maximal removed run), kept_sha256 and, if asked for, kept (binary) and text.
+
+    text is what is left as a string; where a cut falls inside a character, a replacement character stands for the rest of it.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     index = SuffixIndex(spark, length, k)
@@ -352,15 +357,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: i
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
                     runs = [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2])]
                     kept = arr[~gone].tobytes()
-                out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept if kept_bytes else None))
-            cols = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
+                out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept if kept_bytes else None, kept.decode("utf-8", "replace") if kept_text else None))
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept", "text"])
 
     common.small_batches(spark)
-    out = both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary")
-    return out if kept_bytes else out.drop("kept")
+    out = both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary, text string")
+    return out.drop(*(name for name, asked in (("kept", kept_bytes), ("text", kept_text)) if not asked))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    out = remove_repeats(common.documents(spark, sf_dir), kept_text=True)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "text")
