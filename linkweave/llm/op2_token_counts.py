@@ -11,6 +11,7 @@ Null and empty texts have 0 bytes and 0 tokens. Repeated rows each give a row; o
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +33,11 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
+@lru_cache(maxsize=4)
 def proven_singles(model: bytes) -> frozenset[str]:
     """Pre-tokens (blanks, then others) that the library encodes alone as exactly one token.
 
-    Raises ValueError for a vocabulary whose pieces cross pre-token borders: the shortcut would be wrong there.
+    The proof runs once for a model in a process. Raises ValueError for a vocabulary whose pieces cross pre-token borders: the shortcut would be wrong there.
     """
     import sentencepiece
 
