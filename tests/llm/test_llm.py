@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -444,3 +446,179 @@ def test_op9_batches_meet_the_runs(spark):
         settled.append(index.frequent().count())
     assert settled == [0, 1, 1, 1, 2] and sorted(index.levels) == [0, 2]
     assert index.levels[2].count() == 8 + 1 and index.levels[0].count() == 2  # own lines, and "two" until the next compaction
+
+
+def score_by_hand(model, text):
+    """The score from the definition: the mean weight of all features, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    names = [x for w in words for x in (f"<{w}>", *(f"<{w}>"[i : i + n] for n in (3, 4) if n < len(w) + 2 for i in range(len(w) + 3 - n)))]
+    buckets = [zlib.crc32(x.encode("utf-8", "replace")) % (1 << 17) for x in names] + [zlib.crc32(b"\x00repeat") % (1 << 17)] * sum(a == b for a, b in zip(words, words[1:]))
+    z = model.bias + (sum(float(model.weight[b]) for b in buckets) / len(buckets) if buckets else 0.0)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_op1_scores_equal_brute_force(spark, docs):
+    model = op1_quality_classifier.fit(docs, labels(spark))
+    got = {(r["doc_id"], r["score"]) for r in op1_quality_classifier.score_only(docs, model).collect()}
+    for i, t in rows_of(docs):
+        assert any(j == i and s == pytest.approx(score_by_hand(model, t), abs=1e-6) for j, s in got), i
+    prior = {s for i, s in got if i in (0, 1, 2, 3)}
+    assert len(prior) == 1 and prior.pop() == pytest.approx(1 / (1 + math.exp(-model.bias)))
+
+
+def test_op1_fit_takes_each_id_once(spark, docs):
+    """Repeated labels count by the largest, repeated documents once; held-out rows and unusable labels teach nothing."""
+    more = labels(spark).unionByName(spark.createDataFrame([(11, 0, 0), (11, 1, 0), (14, 0, 0)], "doc_id long, quality int, toxic int"))
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    more = more.unionByName(spark.createDataFrame([(i, 0, 0) for i in held], "doc_id long, quality int, toxic int"))
+    a, b = (op1_quality_classifier.fit(docs, x) for x in (labels(spark).where("doc_id NOT IN (%s)" % ", ".join(map(str, held))), more))
+    assert a.bias == b.bias and np.array_equal(a.weight, b.weight)
+    small = op1_quality_classifier.fit(docs, more, max_train=1)
+    assert small.bias != a.bias
+
+
+def test_op2_limit(spark):
+    n = op2_token_counts.LIMIT
+    d = spark.createDataFrame([(k, " ".join(["the"] * m)) for k, m in enumerate((n - 1, n, n + 1))], "doc_id long, text string")
+    got = by_id(op2_token_counts.count_tokens(d))
+    assert [(got[k]["n_tokens"], got[k]["over_limit"]) for k in range(3)] == [(n - 1, False), (n, False), (n + 1, True)]
+
+
+def test_op3_values_at_the_limits(spark):
+    """One more or less on each side of every rule's limit; repeated rows and rows without an id each keep theirs."""
+    again = "a b c d e f a b c d e"  # ten words in repeated windows
+
+    def fails(text, rule):
+        row = op3_quality_rules.measure(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")).collect()
+        assert len(row) == 3 and len({r["failed"] for r in row}) == 1
+        return bool(row[0]["failed"] & op3_quality_rules.BIT[rule])
+
+    words = lambda n: " ".join(f"w{i}x" for i in range(n))
+    assert fails(words(9), "few_words") and not fails(words(10), "few_words")
+    assert not fails(again + " " + words(39), "repeated_words") and fails(again + " " + words(38), "repeated_words")
+    assert not fails(words(9) + " ###", "symbols") and fails(words(9) + " ####", "symbols")
+    assert not fails("\n".join([words(5)] * 4 + [f"line {i}" for i in range(6)]), "repeated_lines") and fails("\n".join([words(5)] * 5 + [f"line {i}" for i in range(6)]), "repeated_lines")
+    assert not fails("x" * 50, "word_length") and fails("x" * 51, "word_length") and not fails("ab a", "word_length") and fails("ab a a", "word_length")
+    assert not fails("ABCDEFabcd", "capitals") and fails("ABCDEFGabc", "capitals")
+
+
+def feistel_by_hand(s, radix, tweak, key):
+    """The network from its description, in Python."""
+    a, b = s[: len(s) // 2], s[len(s) // 2 :]
+    for i in range(1, 11):
+        f = int(hashlib.sha256("|".join([key, tweak, str(i), str(len(a)), b]).encode()).hexdigest()[:15], 16)
+        c, out = (int(a or "0", radix) + f) % radix ** len(a), ""
+        while len(out) < len(a):
+            out, c = "0123456789ABCDEFGHIJKLMNOP"[c % radix] + out, c // radix
+        a, b = b, out
+    return a + b
+
+
+def test_op7_network_equals_python(spark):
+    rng = random.Random(3)
+    for radix, digits in ((10, "0123456789"), (16, "0123456789ABCDEF"), (26, "0123456789ABCDEFGHIJKLMNOP")):
+        texts = ["".join(rng.choice(digits) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+        d = spark.createDataFrame([(x,) for x in texts], "s string").withColumn("y", op7_pii.feistel(F.col("s"), radix, "kind", "secret"))
+        assert all(r["y"] == feistel_by_hand(r["s"], radix, "kind", "secret") for r in d.collect())
+    ok = lambda s: not re.match("000|666|9", s) and s[3:5] != "00" and s[5:] != "0000"
+    new = feistel_by_hand("123456789", 10, "ssn", "k")
+    while not ok(new):
+        new = feistel_by_hand(new, 10, "ssn", "k")
+    got = op7_pii.pseudonymise(spark.createDataFrame([("no 123-45-6789.",)], "text string"), "k").first()
+    assert got["text"] == f"no {new[:3]}-{new[3:5]}-{new[5:]}." and got["n_replaced"] == 1
+
+
+def test_op7_keys_repeats_and_long_texts(spark):
+    text = "id 123-45-6789 on 2024-02-29, " + "x" * 300_000 + " end 4644348398010899"
+    d = spark.createDataFrame([(1, text, 7), (1, text, 7)], "doc_id long, text string, n_replaced int")
+    a, b, c = ([r.asDict() for r in op7_pii.pseudonymise(d, k).collect()] for k in ("k1", "k2", None))
+    assert a[0] == a[1] and a[0]["n_replaced"] == 3 and len(a[0]["text"]) == len(text)
+    assert len({x[0]["text"] for x in (a, b, c)}) == 3  # another key, another pseudonym; without one a key of the process
+    assert op7_pii.pseudonymise(d).first()["text"] == c[0]["text"]
+    never = spark.range(1).select(op7_pii.walked(F.lit("12"), 10, "t", "k", lambda s: F.lit(False)).alias("x")).first()["x"]
+    assert never is None
+
+
+def test_op9_texts_of_a_shared_id(spark):
+    """Different texts under one id are documents of their own, each with its lines."""
+    rows = [(1, "same\nfirst"), (1, "second\nsame"), *((k, f"same\nx{k}") for k in range(2, 10))]
+    index = op9_line_dedup.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["text"]) for r in op9_line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), index).collect())
+    assert got == sorted((i, "\n".join(x for x in t.split("\n") if x != "same")) for i, t in rows)
+
+
+def copies_by_hand(rows, seed="mix-1"):
+    """doc_id and n_copies by Poisson draws at each source's rate, for rows (doc_id, text, source)."""
+    units = collections.Counter()
+    for _, t, s in rows:
+        units[s] += len(t or "") + 1
+    weight, every = {s: u**0.5 for s, u in units.items()}, sum(units.values())
+    out = []
+    for i, t, s in rows:
+        rate = weight[s] / sum(weight.values()) * every / units[s]
+        u = int(hashlib.md5(f"{seed}/1/{i}".encode()).hexdigest()[:15], 16) / float(1 << 60)
+        p = c = math.exp(-rate)
+        k = 0
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        out += [(i, t)] * k
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    """run() on small tables against plain Python, stage by stage."""
+    import sentencepiece
+
+    rng = random.Random(8)
+    junk = lambda: " ".join(rng.choice(["###", "%%", "zz!!", "buy", "$$$"]) for _ in range(40))
+    texts = [prose(60) + "\nshared footer\n" + prose(20) if k % 2 else prose(70) + f"\nline {k}" for k in range(40)] + [junk() for _ in range(20)]
+    texts += [texts[3], texts[5] + " more", "Shared Footer", None, ""]
+    rows = [(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate(texts)]
+    sf = common.fresh_path(spark, "pipeline")
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{sf}/documents.parquet")
+    lab = spark.createDataFrame([(k, int(k < 40), 0) for k in range(60) if k % 3], "doc_id long, quality int, toxic int")
+    lab.write.parquet(f"{sf}/labels.parquet")
+
+    model = op1_quality_classifier.fit(d, lab)
+    docs = [(i, t, s) for i, t, _, s, _ in rows if score_by_hand(model, t) >= 0.7]
+    assert {i for i, _, _ in docs} >= set(range(40)) and not {i for i, _, _ in docs} & set(range(40, 60))
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    count = collections.Counter(k for _, t, _ in docs for k in {key(x) for x in (t or "").split("\n")})
+    # texts that lose nothing stay as they are, null included
+    docs = [(i, "\n".join(x for x in t.split("\n") if not (key(x) and count[key(x)] >= 10)) if t else t, s) for i, t, s in docs]
+    assert any("footer" in (texts[i] or "").lower() and "footer" not in (t or "").lower() for i, t, _ in docs)
+    sets, gone = sets_of([t for _, t, _ in docs], 5), set()
+    for x in range(len(docs)):  # no chains among these texts, so the smaller of a pair stays
+        for y in range(x):
+            if sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                gone.add(x)
+    docs = [r for x, r in enumerate(docs) if x not in gone]
+    assert len(gone) >= 2
+    sp = sentencepiece.SentencePieceProcessor(model_proto=op2_token_counts.model_bytes())
+    want = sorted((i, tuple(sp.encode(t or ""))) for i, t in copies_by_hand(docs))
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"], tuple(r["ids"])) for r in got) == want and all(r["n_tokens"] == len(r["ids"]) and r["round_trip"] for r in got)
+
+
+def test_pipeline_keeps_the_order_of_the_mixing(spark, docs):
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id IS NOT NULL")
+    mixed = common.stored(corpus_pipeline.mixing(spark, plain, "").coalesce(1), "mixed", spark)
+    assert [r["doc_id"] for r in corpus_pipeline.encoding(spark, mixed, "").collect()] == [r["doc_id"] for r in mixed.collect()]
+
+
+def test_op4_query_returns_what_is_left(spark):
+    """The query's texts are the remaining bytes; a cut inside a character leaves a replacement character."""
+    passage = "é" * 300
+    texts = ["x" + passage + "y", passage[:-1] + "z", None, "", "short"]
+    path = common.fresh_path(spark, "op4")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = by_id(op4_suffix_dedup.query(spark, path))
+    assert list(got[0]) == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    for i, x in enumerate(brute4(texts, 400)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == x
+        if "\ufffd" not in got[i]["text"]:
+            assert hashlib.sha256(got[i]["text"].encode()).hexdigest() == x[3]
+    assert (got[2]["text"], got[3]["text"], got[4]["text"]) == ("", "", "short") and got[0]["text"].startswith("x") and got[1]["text"].endswith("z")
