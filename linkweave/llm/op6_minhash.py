@@ -34,7 +34,7 @@ PERMS = BANDS * ROWS
 SLACK = 0.2
 #: Shingles of the members in one block; members in one block, and guests that meet a block in one task.
 BLOCK, MEMBERS = 1_000_000, 512
-#: Requests of texts up to this number (32 bytes each) are broadcast; more are joined by a shuffle.
+#: Requests of texts, and buckets, up to this number (32 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 MAX_WORDS = 400_000
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -115,6 +115,11 @@ def estimate(a: str, b: str) -> Column:
     return (equal / PERMS - 1 / 16) / (1 - 1 / 16)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has at most BROADCAST_ROWS rows of a few numbers."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * |intersection| >= percent * |union|, on the full sets, as (a, b).
 
@@ -130,9 +135,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     asked = salted.select(F.col("b").alias("id"), "a", "salt").unionByName(heads.select(F.col("a").alias("id"), "a", "salt"))
     asked = common.stored(asked, "asked", spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    rows = texts.join(asked, "id").select("a", "salt", (F.col("id") != F.col("a")).alias("other"), F.col("id").alias("b"), "text")
+    rows = texts.join(small(asked), "id").select("a", "salt", (F.col("id") != F.col("a")).alias("other"), F.col("id").alias("b"), "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other", "b", "text")
 
     def run(batches):
@@ -198,7 +201,8 @@ def across(member: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame
     common.small_batches(spark)
     part = member.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "a", "rep", F.coalesce("component", "rep").alias("part"))
     part = common.stored(part, "parts", spark)
-    several = part.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band", "key")
+    several = common.stored(part.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band", "key"), "several", spark)
+    several = small(several)
     # buckets that share a member are one group, so a pair is compared once and not in each band
     ties = part.join(several, ["band", "key"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     groups = components(ties).withColumnRenamed("component", "grp")
@@ -222,9 +226,7 @@ def across(member: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame
     guests = guests.join(chunks, ["grp", "block"]).select("grp", "block", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "part", F.lit(True).alias("guest"))
     asked = common.stored(base.unionByName(guests), "asked", spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    rows = texts.join(asked, "rep").select("grp", "block", "chunk", "guest", "rep", "part", "text")
+    rows = texts.join(small(asked), "rep").select("grp", "block", "chunk", "guest", "rep", "part", "text")
     rows = rows.repartition("grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk", "guest")
 
     def run(batches):
@@ -271,7 +273,8 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     reps = common.stored(reps.drop("c1"), "reps", spark)
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.count("*").alias("size")).where("last > a")
-    member = common.stored(banded.join(buckets.drop("last"), ["band", "key"]), "members", spark)
+    buckets = common.stored(buckets.drop("last"), "buckets", spark)  # stored, so that the join is split where a bucket is huge
+    member = common.stored(banded.join(small(buckets), ["band", "key"]), "members", spark)
     bits = reps.select("rep", "bits")
     stars = member.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     stars = stars.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("y")), "b")
@@ -285,7 +288,7 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     more = common.stored(across(member, found, reps, docs, n, percent), "links-2", spark)
     tied = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
     final = components(tied.unionByName(more)) if more.limit(1).count() else found
-    common.forget(spark, reps, member, links, more)
+    common.forget(spark, reps, buckets, member, links, more)
     whole = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("root"))
     out = sig.join(whole, ["c1", "c2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
