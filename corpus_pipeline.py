@@ -24,7 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that MIN_DOCS documents or more share."""
-    out = op9_line_dedup.dedup_lines(docs, op9_line_dedup.build(docs)).select(docs.columns)
+    index = op9_line_dedup.build(docs)
+    index.close()
+    out = op9_line_dedup.dedup_lines(docs, index).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -65,8 +67,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip of every row."""
-    return op5_sentencepiece.encode(docs)
+    """doc_id, n_tokens, ids and round_trip of every row, in the order that the mixing gave them."""
+    return op5_sentencepiece.encode(docs, in_order=True)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("encoding", encoding)]
@@ -78,7 +80,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        done = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.stored(docs, f"stage-{name}", spark)
+            done = common.stored(done, f"stage-{name}", spark)
+            common.forget(spark, docs)  # what the stage before left; the input isn't a stored table
+        docs = done
     return docs
