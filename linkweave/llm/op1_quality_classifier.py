@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ from . import common
 
 MAX_TRAIN, BUCKETS, DIM, EPOCHS, RATE, BATCH, SEED = 4000, 1 << 17, 12, 10, 40.0, 64, 7
 THRESHOLD, MAX_CACHE = 0.7, 300_000
+#: Bits of a feature's count beside its bucket in one number.
+COUNT = 15
 words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 REPEAT = zlib.crc32(b"\x00repeat") & (BUCKETS - 1)
 
@@ -48,32 +51,56 @@ def bag(text: str | None, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.
     return np.unique(every, return_counts=True)
 
 
+class Words(dict):
+    """Numbers of words, and for each number the sum of its features' weights and how many they are."""
+
+    def __init__(self, weight: np.ndarray):
+        super().__init__()
+        self.weight, self.sums, self.sizes = weight, np.empty(1 << 12), np.empty(1 << 12, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        ids, k = features(word.decode("utf-8")), len(self)
+        if k == len(self.sums):
+            self.sums, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.sums, self.sizes))
+        self.sums[k], self.sizes[k] = float(self.weight[ids].sum(dtype=np.float64)), len(ids)
+        self[word] = k
+        return k
+
+
 class Model:
     """weight: what each bucket adds to the logit of class 1; bias: the logit of a text without features."""
 
     def __init__(self, weight: np.ndarray, bias: float):
-        self.weight, self.bias, self.known = weight, bias, {}
+        self.weight, self.bias, self.words = weight, bias, Words(weight)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        known, weight, out = self.known, self.weight, np.empty(len(texts))
+        out = np.full(len(texts), float(self.bias))
         for k, text in enumerate(texts):
-            words = words_of(text or "")
-            total, n = 0.0, 0
-            for w in words:
-                if (x := known.get(w)) is None:
-                    ids = features(w)
-                    x = known[w] = (float(weight[ids].sum()), len(ids))
-                total += x[0]
-                n += x[1]
-            again = sum(a == b for a, b in zip(words, words[1:]))
-            out[k] = self.bias + (total + again * float(weight[REPEAT])) / (n + again) if n else self.bias
-            if len(known) > MAX_CACHE:
-                known.clear()
+            words = (text or "").encode("utf-8", "replace").split()  # bytes: only ASCII blanks split
+            if not words:
+                continue
+            book = self.words
+            numbers = np.fromiter(map(book.__getitem__, words), np.int64, len(words))
+            again = int((numbers[1:] == numbers[:-1]).sum())
+            total, n = book.sums[numbers].sum(), book.sizes[numbers].sum()
+            out[k] += (total + again * float(self.weight[REPEAT])) / (n + again)
+            if len(book) > MAX_CACHE:
+                self.words = Words(self.weight)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Embeddings and softmax weights by stochastic gradient descent over small batches of documents (their buckets and counts)."""
+def packed(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Buckets and counts as one number each; a count of more than COUNT bits becomes several numbers of one bucket."""
+    most = (1 << COUNT) - 1
+    full = counts // most
+    ids = np.concatenate([ids, np.repeat(ids, full)])
+    counts = np.concatenate([counts % most, np.full(int(full.sum()), most)])
+    there = counts > 0
+    return ids[there].astype(np.uint32) << np.uint32(COUNT) | counts[there].astype(np.uint32)
+
+
+def train(bags: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """Embeddings and softmax weights by stochastic gradient descent over small batches of documents (their buckets and counts, packed)."""
     if not bags:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
@@ -86,9 +113,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs:
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             pick = order[at : at + BATCH]
-            ids = np.concatenate([bags[i][0] for i in pick])
-            share = np.concatenate([bags[i][1] / max(1, bags[i][1].sum()) for i in pick]).astype(np.float32)
-            row = np.repeat(np.arange(len(pick)), [len(bags[i][0]) for i in pick])
+            ids = np.concatenate([bags[i] >> COUNT for i in pick]).astype(np.int64)
+            counts = [bags[i] & ((1 << COUNT) - 1) for i in pick]
+            share = np.concatenate([c / max(1, c.sum()) for c in counts]).astype(np.float32)
+            row = np.repeat(np.arange(len(pick)), [len(c) for c in counts])
             part = vectors[ids] * share[:, None]
             hidden = np.stack([np.bincount(row, part[:, d], len(pick)) for d in range(DIM)], 1).astype(np.float32)
             z = hidden @ out + prior
@@ -122,22 +150,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, target:
     def bags(batches):
         known: dict = {}
         for b in batches:
-            found = [bag(t, known) for t in b.column(1).to_pylist()]
-            if len(known) > MAX_CACHE:
-                known.clear()
-            ids, counts = ([x[k].astype(np.int32) for x in found] for k in (0, 1))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.empty(0, np.int32))) for x in (ids, counts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], names=["doc_id", "label", "ids", "counts"])
+            found = []
+            for t in b.column(1).to_pylist():
+                found.append(packed(*bag(t, known)).tobytes())
+                if len(known) > MAX_CACHE:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "bag"])
 
     # at most max_train rows of two numbers: bounded, so broadcasting them is safe
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("doc_id", "x.text", F.col("x.label").cast("int").alias("label"))
-    # the driver gets at most max_train rows of at most BUCKETS numbers, however long the texts are and however often they repeat
+    # the driver gets at most max_train rows of hardly more than BUCKETS numbers, however long the texts are and however often they repeat
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(bags, f"doc_id {kind}, label int, ids array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    lists = [[x.values.to_numpy() for x in rows.column(c)] for c in ("ids", "counts")]
-    return train(list(zip(*lists)), rows.column("label").to_pylist())
+    rows = texts.mapInArrow(bags, f"doc_id {kind}, label int, bag binary").toArrow()
+    order, found, given = pa.compute.sort_indices(rows, [("doc_id", "ascending")]).to_pylist(), rows.column("bag"), rows.column("label").to_pylist()
+    return train([np.frombuffer(found[i].as_buffer(), np.uint32) for i in order], [given[i] for i in order])
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
