@@ -622,3 +622,14 @@ def test_op4_query_returns_what_is_left(spark):
         if "\ufffd" not in got[i]["text"]:
             assert hashlib.sha256(got[i]["text"].encode()).hexdigest() == x[3]
     assert (got[2]["text"], got[3]["text"], got[4]["text"]) == ("", "", "short") and got[0]["text"].startswith("x") and got[1]["text"].endswith("z")
+
+
+def test_op6_broadcasts_nothing_but_a_bitmap(spark, monkeypatch):
+    """The driver's memory doesn't depend on the rows: no table of buckets or requests goes through it."""
+    rng, seen, plain = random.Random(6), [], F.broadcast
+    groups = [[rng.choice(VOCAB) for _ in range(60)] for _ in range(40)]
+    rows = [(100 * g + k, " ".join([*w[:-1], f"x{k}"])) for g, w in enumerate(groups) for k in range(3)]
+    monkeypatch.setattr(op6_minhash.F, "broadcast", lambda d: seen.append((d.columns, d.count())) or plain(d))
+    got = by_id(op6_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: i - i % 100 for i, _ in rows}
+    assert seen and all(columns == ["page", "bitmap"] and n <= op6_minhash.SLOTS // op6_minhash.PAGE for columns, n in seen)
