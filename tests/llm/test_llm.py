@@ -633,3 +633,24 @@ def test_op6_broadcasts_nothing_but_a_bitmap(spark, monkeypatch):
     got = by_id(op6_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
     assert {i: r["component_id"] for i, r in got.items()} == {i: i - i % 100 for i, _ in rows}
     assert seen and all(columns == ["page", "bitmap"] and n <= op6_minhash.SLOTS // op6_minhash.PAGE for columns, n in seen)
+
+
+@pytest.mark.parametrize("limit", [op4_suffix_dedup.CELL, 1200])
+def test_op4_large_groups_are_packed(spark, monkeypatch, limit):
+    """A segment of a large group is one row a cell, not one a window; windows in different cells give the same runs."""
+    monkeypatch.setattr(op4_suffix_dedup, "GROUP", 2)
+    monkeypatch.setattr(op4_suffix_dedup, "CELL", limit)
+    passage, counted, plain = prose(110), [], op4_suffix_dedup.meet
+    texts = [prose(40 + i) + passage + prose(50) for i in range(12)]
+
+    def meet(rows):
+        counted.append((rows.count(), rows.select("kh", "sh").distinct().count(), rows.select(F.sum(F.size("xs"))).first()[0]))
+        return plain(rows)
+
+    monkeypatch.setattr(op4_suffix_dedup, "meet", meet)
+    got = by_id(op4_suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, x in enumerate(brute4(texts, 400)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], len(got[i]["spans"]), got[i]["kept_sha256"]) == x
+    rows, segs, hashes = counted[0]
+    assert rows == segs if limit > 1200 else rows > segs
+    assert segs >= 12 and hashes > 5 * segs
