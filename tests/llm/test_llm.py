@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -188,6 +189,25 @@ def test_op5_equals_library_and_decodes(docs, empty):
     assert op5_sentencepiece.encode(empty).count() == 0
 
 
+def test_op5_spells_fragments_together(monkeypatch):
+    """All fragments of a chunk at once, in slices; those with a character that is no piece stay apart."""
+    monkeypatch.setattr(op5_sentencepiece, "FRAGMENTS", 2)
+    found = pa.table({"word": ["▁añb", "ab", "▁x💡", "▁", "▁▁a"], "borders": [0b11001, 0b101, 0b1111, 0b11, 0b1101]})
+    number = {"▁añ": 7, "b": 8, "ab": 9, "▁": 4, "x": 5, "▁▁": 6, "a": 3}
+    first, rest = op5_sentencepiece.spelled(found.slice(0), number)
+    ids = {k: np.frombuffer(v, np.int32).tolist() for k, v in first.items()}
+    assert ids == {"añb": [7, 8], op5_sentencepiece.BARE + "ab": [9], "": [4], " a": [6, 3]}
+    assert rest == {"▁x💡": 0b1111}
+    assert op5_sentencepiece.spelled(found.slice(0, 0), number) == ({}, {})
+
+
+def test_op5_cuts_texts_without_jvm_expressions(spark):
+    """Words and fragments are cut out of whole texts by one Arrow function, not by expressions that take a text apart several times."""
+    d = spark.createDataFrame([(1, "some words of a text, words")], "doc_id long, text string")
+    plan = op5_sentencepiece.encode(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "array_distinct" not in plan and "MapInArrow" in plan
+
+
 def test_op5_viterbi_equals_library(spark):
     """The same pieces as a unigram model: least cost over the lattice."""
     import sentencepiece
