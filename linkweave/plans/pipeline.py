@@ -92,10 +92,11 @@ class Pipeline:
             mode = "WarmStart"
         report.startup_mode = mode
         lap("fingerprint", mode=mode)
-        pairs = blocking.candidate_pairs(self.blocker.index(records), c.max_bucket, c.link_mode)
         levels = self.comparator.level_columns
-        compared = stored(self.comparator.compare(pairs, records), "compared")
-        counts = blocking.source_counts(compared.select("a", "b"), records).first()
+        compared = stored(self.comparator.compare_blocked(self.blocker.index(records), records, c.max_bucket, c.link_mode, ["source"]), "compared")
+        same = F.col("source_a").eqNullSafe(F.col("source_b"))
+        counts = compared.agg(F.count_if(~same).alias("n_cross"), F.count_if(same).alias("n_within")).first()
+        compared = compared.drop("source_a", "source_b")
         report.cross_source_pairs, report.within_source_pairs = counts["n_cross"], counts["n_within"]
         report.candidate_pairs = counts["n_cross"] + counts["n_within"]
         lap("compare", pairs=report.candidate_pairs)

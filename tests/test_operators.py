@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linkweave.model import ClusterConfig, EmptySchema, FieldKind, LinkMode, ModelParams, PipelineConfig, Schema
 from linkweave.operators import blocking as B
 from linkweave.operators import cluster as C
-from linkweave.operators import em, inference
+from linkweave.operators import em, graph, inference, metrics
 from linkweave.operators import keys as K
 from linkweave.operators.compare import FieldComparator
 from linkweave.operators.graph import components
@@ -49,6 +49,61 @@ def test_pairs_match_brute_force_and_cap(spark):
     assert {tuple(r) for r in B.candidate_pairs(idx, 300, "link-only").collect()} == cross
 
 
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_pairs_of_several_keys_and_sources_come_once(spark, monkeypatch, chunk):
+    """Records of several buckets, an id of two sources, hot buckets that are met chunk by chunk."""
+    monkeypatch.setattr(B, "CHUNK", chunk)
+    monkeypatch.setattr(B, "LOOKS", 20)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), "ABC"[i % 3], f"k{k}") for i in range(40) for k in rng.choice(6, 3)] + [(1, "C", "k1"), (1, "A", "k1"), (2, "A", "k1"), (2, "C", "k1"), (2, None, "k2"), (5, None, "k2")]
+    idx = spark.createDataFrame(rows, "record_id long, source string, block_key string").select("block_key", "record_id", "source")
+    every = [((a, s), (b, t)) for (a, s, k), (b, t, l) in itertools.product(rows, rows) if k == l and a < b]
+    for mode, want in (("dedupe", {(x[0], y[0]) for x, y in every}), ("link_only", {(x[0], y[0]) for x, y in every if x[1] != y[1]})):
+        got = [tuple(r) for r in B.candidate_pairs(idx, 0, mode).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_no_pair_is_shuffled(spark):
+    people = catalogue.people(spark, SF)
+    plan = FieldComparator(catalogue.PEOPLE_CMP).compare_blocked(catalogue.people_index(spark, SF), people)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange" not in above and "Aggregate" not in above
+    joined = FieldComparator(catalogue.PEOPLE_CMP).compare(B.candidate_pairs(catalogue.people_index(spark, SF)), people)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, catalogue.people_compared(spark, SF).collect()))
+
+
+def test_edges_are_thinned_before_they_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES", 50)
+    monkeypatch.setattr(graph, "HELD", 60)
+    e = spark.createDataFrame(list(itertools.combinations(range(40), 2)) + [(100 + i, 101 + i) for i in range(100)], "a long, b long").coalesce(1)
+    thin = graph.thinned(e)
+    assert thin.count() <= 300
+    assert {tuple(r) for r in components(thin.toDF("a", "b")).collect()} == {(i, 0) for i in range(40)} | {(i, 100) for i in range(100, 201)}
+
+
+def test_linear_links_of_sizes_stand_for_all_links(spark):
+    rows = [(r["record_id"], r["brand"], r["type"], r["size"]) for r in catalogue.parts(spark, SF).collect()]
+    all_links = [(a[0], b[0]) for a, b in itertools.combinations(sorted(rows), 2) if a[1:3] == b[1:3] and abs(a[3] - b[3]) <= 1]
+    few = catalogue.size_links(spark, SF)
+    assert few.count() < 2 * len(rows)
+    found = lambda e: {tuple(r) for r in components(e).collect()}
+    assert found(few) == found(spark.createDataFrame(all_links, "a long, b long"))
+    ends = all_links + [(b, a) for a, b in all_links]
+    degrees = {i: sum(a == i for a, _ in ends) for i in {a for a, _ in ends}}
+    assert dict(map(tuple, catalogue.size_degrees(spark, SF).collect())) == degrees
+    asked = spark.createDataFrame([(i,) for i in list(degrees)[:20]], "record_id long")
+    assert {tuple(r) for r in catalogue.size_neighbours(spark, SF, asked).collect()} == {e for e in ends if e[0] in list(degrees)[:20]}
+
+
+def test_curve_of_marked_pairs_equals_that_of_all(spark):
+    people, truth = catalogue.people(spark, SF), catalogue.truth(spark, SF)
+    keyed = catalogue.people_keyed(spark, SF).withColumn("match_probability", F.round("match_probability", 9))
+    plain = catalogue.with_keys(catalogue.people_scored(spark, SF).withColumn("match_probability", F.round("match_probability", 9)), people)
+    assert sorted(map(tuple, metrics.curve(keyed, truth).collect())) == sorted(map(tuple, metrics.curve(plain, truth).collect()))
+    hit = keyed.join(truth, ["key_a", "key_b"], "left_semi")
+    assert hit.where("maybe").count() == hit.count() > 0 and keyed.where("maybe").count() < 2 * hit.count()
+
+
 def test_components_chain_star_and_empty(spark):
     chain = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1050)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
