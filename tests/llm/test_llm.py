@@ -674,3 +674,25 @@ def test_op4_large_groups_are_packed(spark, monkeypatch, limit):
     rows, segs, hashes = counted[0]
     assert rows == segs if limit > 1200 else rows > segs
     assert segs >= 12 and hashes > 5 * segs
+
+
+def test_op6_tables_that_grow_are_never_broadcast(spark, monkeypatch):
+    """Joins of small tables too are shuffles: at another size the same tables would fill the driver."""
+    from linkweave import storage
+    from linkweave.operators import graph
+
+    rng, plans, plain = random.Random(7), [], storage.stored
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(9)) for _ in range(60))) for i in range(40)]
+    rows += [(100 + i, t + " more") for i, t in rows]
+
+    def kept(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(storage, "stored", kept)
+    monkeypatch.setattr(graph, "stored", kept)
+    out = op6_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    broadcast = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert len(plans) > 10 and all("page#" in line for line in broadcast)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {i + k: i for i in range(40) for k in (0, 100)}
